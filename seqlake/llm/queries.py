@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, minhash, quality_divergence, token_counts
+from . import bpe, language_id, minhash, quality_divergence, suffix_dedup, token_counts
 from .common import documents, held_out
 
 
@@ -28,6 +28,10 @@ def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_divergence.judge(docs, quality_divergence.learn_references(docs))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(documents(spark, sf_dir))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
     "op4_quality_divergence": op4_quality_divergence,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash": op7_minhash,
     "op10_piece_counts": op10_piece_counts,
 }
