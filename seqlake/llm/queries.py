@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, minhash, quality_divergence, suffix_dedup, token_counts
+from . import bpe, fingerprints, language_id, minhash, quality_divergence, suffix_dedup, token_counts, toxicity
 from .common import documents, held_out
 
 
@@ -36,6 +36,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    machine = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+    return toxicity.score(docs, machine).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf_dir))
+
+
 def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -46,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_divergence": op4_quality_divergence,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash": op7_minhash,
+    "op8_toxicity": op8_toxicity,
+    "op9_fingerprints": op9_fingerprints,
     "op10_piece_counts": op10_piece_counts,
 }
 
