@@ -31,13 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
+def write_shared(df: DataFrame, name: str, releasable: bool = True) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    if releasable:
+        _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
 

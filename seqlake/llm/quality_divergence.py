@@ -223,6 +223,18 @@ def judge(docs: DataFrame, references: References, rules: Rules = Rules()) -> Da
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, references: References, rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs, with all their columns, that ``judge`` keeps."""
+    shared = docs.sparkSession.sparkContext.broadcast((references, rules))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = Judge(*shared.value)
+        for part in (p for b in batches for p in slices(b)):
+            yield part.filter(pa.array([_verdict(t, by, rules)[-1] for t in texts(part)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _verdict(text: str, by: Judge, rules: Rules) -> tuple:
     base = base_metrics(text, rules.window)
     failed = base[0] < rules.min_words or 100 * base[4] > rules.repeat_percent * base[0]

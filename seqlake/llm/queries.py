@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, minhash, quality_divergence, suffix_dedup, token_counts, toxicity
+from . import binary_output, bpe, fingerprints, language_id, minhash, quality_divergence, retrieval_packing, suffix_dedup, token_counts, toxicity
 from .common import documents, held_out
 
 
@@ -23,11 +24,23 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def json_tokenizer() -> str:
+    return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+
+
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.packed(documents(spark, sf_dir), json_tokenizer())
+
+
 def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_divergence.judge(docs, quality_divergence.learn_references(docs))
 
 
+def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_output.matrices(documents(spark, sf_dir), json_tokenizer(), digests=True)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(documents(spark, sf_dir))
 
@@ -53,7 +66,9 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op3_retrieval_packing": op3_retrieval_packing,
     "op4_quality_divergence": op4_quality_divergence,
+    "op5_binary_output": op5_binary_output,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,

@@ -37,7 +37,6 @@ from .common import slices, texts, write_shared
 
 STEP = 10
 _ODD = 0x9E3779B97F4A7C15
-_SPANS = "array<struct<start:int,end:int>>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -271,20 +270,6 @@ def _cut(body: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(body[s:e] for s, e in zip(at[::2], at[1::2], strict=True)), found
 
 
-def _with_spans(docs: DataFrame, length: int, gram: int, schema: str, row) -> DataFrame:
-    """docs with their spans through ``row``: (text, spans) -> values of the columns after doc_id."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in slices(b)):
-            values = [row(t, s if s.is_valid else None) for t, s in zip(texts(part), part.column("spans"), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([v[k] for v in values]) for k in range(len(names) - 1))], names=names)
-
-    keyed = _keyed(docs)
-    spans = write_shared(repeated_spans(docs, length, gram), "suffix-spans")
-    return keyed.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", F.col("spans").cast(_SPANS)).mapInArrow(run, schema)
-
-
 def _digest(text: str, spans) -> tuple:
     body = text.encode()
     kept, found = _cut(body, spans)
@@ -293,13 +278,29 @@ def _digest(text: str, spans) -> tuple:
 
 def removal_report(docs: DataFrame, length: int = 100, gram: int = 24) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _with_spans(docs, length, gram, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", _digest)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in slices(b)):
+            rows = [_digest(t, s if s.is_valid else None) for t, s in zip(texts(part), part.column("spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int64()] * 3 + [pa.string()]))], names=names)
 
-def _left_text(text: str, spans) -> tuple:
-    return (_cut(text.encode(), spans)[0].decode(errors="ignore"),)
+    spans = write_shared(repeated_spans(docs, length, gram), "suffix-spans")
+    joined = _keyed(docs).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 100, gram: int = 24) -> DataFrame:
-    """doc_id, text without its repeated strings; parts of characters that a cut leaves are dropped."""
-    return _with_spans(docs, length, gram, "doc_id long, text string", _left_text)
+    """docs, with all their columns, their texts without repeated strings; parts of characters that a cut leaves are dropped."""
+    tag, own_spans = "_repeat_tag", "_repeat_spans"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in slices(b)):
+            left = [None if t is None else _cut(t.encode(), s)[0].decode(errors="ignore") if s.is_valid else t for t, s in zip(part.column("text").to_pylist(), part.column(own_spans), strict=True)]
+            yield part.drop_columns([own_spans]).set_column(part.schema.get_field_index("text"), "text", pa.array(left, pa.string()))
+
+    spans = write_shared(repeated_spans(docs, length, gram), "suffix-spans")
+    spans = spans.select(F.col("doc_id").alias("_repeat_id"), F.col("tag").alias(tag), F.col("spans").alias(own_spans))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = docs.join(spans, (F.col("doc_id") == F.col("_repeat_id")) & (F.crc32(text) == F.col(tag)), "left").select(*docs.columns, own_spans)
+    return joined.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import math
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -160,15 +160,34 @@ _made: dict[str, Scorer] = {}
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted (1 from ``threshold`` on) for each row, by its text alone."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
+    scores = _scores(docs, machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in slices(b)):
+            found = scores(part)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], names=["doc_id", "score", "predicted"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def _scores(docs: DataFrame, machine: Machine) -> Callable[[pa.RecordBatch], list[float]]:
+    shared, key = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
+
+    def of(batch: pa.RecordBatch) -> list[float]:
         if key not in _made:
             _made.clear()
             _made[key] = Scorer(shared.value)
-        scorer = _made[key]
+        return [_made[key].score(t) for t in texts(batch)]
+
+    return of
+
+
+def drop(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below ``threshold``."""
+    scores = _scores(docs, machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in slices(b)):
-            found = [scorer.score(t) for t in texts(part)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], names=["doc_id", "score", "predicted"])
+            yield part.filter(pa.array([x < threshold for x in scores(part)], pa.bool_()))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.mapInArrow(run, docs.schema)
