@@ -68,44 +68,122 @@ def _class_table():
 _tables: list = []
 
 
-def class_counts(text: str):
+def _plain(token: bytes) -> str:
+    """A word in lower case without what surrounds its letters."""
+    return token.decode(errors="ignore").lower().strip(".,;:!?\"'()[]{}#*$%&|<>-_/\\")
+
+
+class _Slots(dict):
+    """Numbers the tokens of a worker as they come; ``plain`` has their words."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.plain: list[str] = []
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = slot = len(self.plain)
+        self.plain.append(_plain(token))
+        return slot
+
+
+@dataclass
+class Measures:
+    """Of a run of texts, one row each: the base metrics, class counts, and the slots of their words."""
+
+    n_words: object
+    word_chars: object
+    n_symbols: object
+    n_dup_lines: object
+    n_repeat_words: object
+    classes: object
+    slots: object
+    owner: object
+
+
+def measure(bodies: list[str], slots: _Slots, window: int = 5) -> Measures:
     import numpy as np
 
     if not _tables:
         _tables.append(_class_table())
-    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    return np.bincount(_tables[0][np.minimum(codes, 0xFFFF)], minlength=len(CLASSES)) if len(codes) else np.zeros(len(CLASSES), np.int64)
+    n = len(bodies)
+    data = [t.encode() for t in bodies]
+    found = [d.split() for d in data]  # of bytes: ASCII white space only
+    n_words = np.array([len(f) for f in found], np.int64)
+    every = np.fromiter((x for f in found for x in map(slots.__getitem__, f)), np.int64, int(n_words.sum()))
+    owner = np.repeat(np.arange(n), n_words)
+    codes = np.frombuffer("".join(bodies).encode("utf-32-le"), "<u4")
+    chars = np.array([len(t) for t in bodies], np.int64)
+    of_char = np.repeat(np.arange(n), chars)
+    classes = np.bincount(of_char * len(CLASSES) + _tables[0][np.minimum(codes, 0xFFFF)], minlength=n * len(CLASSES)).reshape(n, len(CLASSES))
+    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    n_symbols = np.array([len(d) - len(d.translate(None, SYMBOLS)) for d in data], np.int64)
+    lines = [[x for x in d.split(b"\n") if x.strip()] for d in data]
+    n_dup = np.array([len(x) - len(set(x)) for x in lines], np.int64)
+    return Measures(n_words, chars - np.bincount(of_char[blank], minlength=n), n_symbols, n_dup, _repeated(every, owner, n, window), classes, every, owner)
+
+
+def _repeated(words, owner, n: int, window: int):
+    """Words of each text within windows that occur twice or more in it."""
+    import numpy as np
+
+    if len(words) < window:
+        return np.zeros(n, np.int64)
+    last = len(words) - window + 1
+    key = (owner[:last].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    for k in range(window):  # a 64-bit hash of the text's number and the words of the window
+        word = words[k : k + last].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        word = (word ^ (word >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        key = (key ^ word ^ (word >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(31)
+    starts = np.flatnonzero(owner[:last] == owner[window - 1 :])
+    order = np.argsort(key[starts], kind="stable")
+    held = key[starts][order]
+    twice = np.zeros(len(held), bool)
+    twice[1:] = held[1:] == held[:-1]
+    twice[:-1] |= twice[1:]
+    starts = starts[order[twice]]
+    edge = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + window, minlength=len(words) + 1)
+    return np.bincount(owner[np.cumsum(edge[:-1]) > 0], minlength=n)
 
 
-def plain_words(text: str) -> list[str]:
-    """Lower-case words without what surrounds their letters."""
-    return [w for x in text.lower().split() if (w := x.strip(".,;:!?\"'()[]{}#*$%&|<>-_/\\"))]
+def base_metrics(text: str, window: int = 5) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    m = measure([text], _Slots(), window)
+    return tuple(int(x[0]) for x in (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    import numpy as np
+
+    slots = _Slots()
+    by_slot: dict[str, object] = {}
+    by_class: dict[str, object] = {}
 
     def flush() -> pa.RecordBatch:
-        rows = list(counts.items())
-        counts.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([k[2] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())],
-            names=["lang", "word", "class", "n"],
-        )
+        rows: list[tuple] = []
+        for lang, counts in by_slot.items():
+            words: Counter = Counter()
+            for slot in np.flatnonzero(counts).tolist():
+                words[slots.plain[slot]] += int(counts[slot])
+            words.pop("", None)
+            rows += [(lang, None, -1, sum(words.values())), *((lang, w, -2, k) for w, k in words.items() if len(w) <= 32)]
+            rows += [(lang, None, c, k) for c, k in enumerate(by_class[lang].tolist()) if k]
+        by_slot.clear(), by_class.clear(), slots.clear(), slots.plain.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "word", "class", "n"])
 
     for part in (p for b in batches for p in slices(b)):
-        for text, lang in zip(texts(part), part.column("lang").to_pylist(), strict=True):
-            for k, n in enumerate(class_counts(text).tolist()):
-                if n:
-                    counts[lang, None, k] += n
-            found = Counter(plain_words(text))
-            counts[lang, None, -1] += sum(found.values())
-            for w, n in found.items():
-                if len(w) <= 32:
-                    counts[lang, w, -2] += n
-        if len(counts) > 300_000:
+        m = measure(texts(part), slots)
+        langs = np.array(part.column("lang").to_pylist(), object)
+        for lang in set(langs.tolist()):
+            own = langs == lang
+            counts = np.bincount(m.slots[own[m.owner]], minlength=len(slots.plain))
+            if (old := by_slot.get(lang)) is not None:
+                counts[: len(old)] += old
+            by_slot[lang] = counts
+            by_class[lang] = by_class.get(lang, 0) + m.classes[own].sum(axis=0)
+        if len(slots) > 300_000:
             yield flush()
-    if counts:
+    if by_slot:
         yield flush()
 
 
@@ -129,82 +207,74 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
     return out
 
 
-def base_metrics(text: str, window: int = 5) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    import numpy as np
-
-    data = text.encode()
-    found = data.split()  # of bytes: ASCII white space only
-    n = len(found)
-    joined = b"".join(found)
-    chars = len(joined) if len(joined) == n and text.isascii() else len(joined.decode())
-    symbols = len(data) - len(data.translate(None, SYMBOLS))
-    lines = [x for x in data.split(b"\n") if x.split(None, 1)]
-    dup = len(lines) - len(set(lines))
-    repeated = 0
-    if n >= window:
-        ids: dict[bytes, int] = {}
-        at = np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.int64, n)
-        if len(ids) < n:  # windows of words that are all different are different
-            key = at[: n - window + 1]
-            for k in range(1, window):
-                _, key = np.unique(key * len(ids) + at[k : n - window + 1 + k], return_inverse=True)
-            starts = np.flatnonzero(np.bincount(key)[key] > 1)
-            if len(starts):
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
-                repeated = int((np.cumsum(edge[:n]) > 0).sum())
-    return n, chars, symbols, dup, repeated
-
-
-def distance(p, q) -> float:
-    """Jensen-Shannon distance, to base 2: 0 to 1."""
+def distances(p, q):
+    """Jensen-Shannon distance, to base 2, of each row of p to q: 0 to 1."""
     import numpy as np
 
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        each = np.where(p > 0, p * np.log2(p / m), 0).sum() + np.where(q > 0, q * np.log2(q / m), 0).sum()
-    return float(np.sqrt(max(0.0, each / 2)))
+        each = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1) + np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
+    return np.sqrt(np.maximum(0, each / 2))
 
 
 class Judge:
-    def __init__(self, references: References, rules: Rules):
+    """Judges texts in one worker; remembers up to ``most`` tokens."""
+
+    def __init__(self, references: References, rules: Rules, most: int = 600_000):
         import numpy as np
 
-        self.rules = rules
-        self.classes = [np.array(c) for c in references.classes]
-        self.index: dict[str, list[tuple[int, int]]] = {}
-        self.words = []
-        for i, found in enumerate(references.words):
+        self.rules, self._most = rules, most
+        self._classes = [np.array(c) for c in references.classes]
+        self._index, self._words = [], []
+        for found in references.words:
             order = sorted(found)
-            for k, w in enumerate(order):
-                self.index.setdefault(w, []).append((i, k))
-            self.words.append(np.array([*(found[w] for w in order), max(0.0, 1 - sum(found.values()))]))
+            self._index.append({w: k for k, w in enumerate(order)})
+            self._words.append(np.array([*(found[w] for w in order), max(0.0, 1 - sum(found.values()))]))
+        self._forget()
 
-    def distances(self, text: str) -> tuple[float | None, float | None, int]:
-        """To the nearest references of classes and of words (None: too short or no reference), and the words compared."""
+    def _forget(self) -> None:
         import numpy as np
 
-        by_class = by_word = None
-        counts = class_counts(text)
-        if self.classes and counts.sum() >= self.rules.min_chars_for_classes:
-            share = counts / counts.sum()
-            by_class = min(distance(share, c) for c in self.classes)
-        found = plain_words(text)
-        if self.words and len(found) >= self.rules.min_words_for_words:
-            hist = [np.zeros(len(w)) for w in self.words]
-            for w, n in Counter(found).items():
-                for i, k in self.index.get(w, ()):
-                    hist[i][k] += n
-            for h in hist:
-                h[-1] = len(found) - h.sum()
-            by_word = min(distance(h / len(found), w) for h, w in zip(hist, self.words, strict=True))
-        return by_class, by_word, len(found)
-
-    def keeps(self, by_class: float | None, by_word: float | None, n: int) -> bool:
-        r = self.rules
-        return (by_class is None or by_class <= r.max_class_distance) and (by_word is None or by_word <= r.max_word_distance + r.short_slack / n**0.5)
+        self._slots = _Slots()
+        self._common = np.zeros((len(self._index) + 1, 0), np.int32)  # the common word of each slot by language; last, whether it is a word
+
+    def _known(self):
+        import numpy as np
+
+        fresh = self._slots.plain[self._common.shape[1] :]
+        if fresh:
+            more = [[index.get(w, -1) for w in fresh] for index in self._index] + [[bool(w) for w in fresh]]
+            self._common = np.concatenate([self._common, np.array(more, np.int32)], axis=1)
+        return self._common
+
+    def judge(self, bodies: list[str]) -> tuple:
+        """measures, base_failed, class and word distance (nan: too short or no reference), kept: arrays."""
+        import numpy as np
+
+        if len(self._slots) > self._most:
+            self._forget()
+        r, n = self.rules, len(bodies)
+        m = measure(bodies, self._slots, r.window)
+        failed = (m.n_words < r.min_words) | (100 * m.n_repeat_words > r.repeat_percent * m.n_words)
+        chars = m.classes.sum(axis=1)
+        by_class, by_word = np.full(n, np.nan), np.full(n, np.nan)
+        if self._classes:
+            share = m.classes / np.maximum(chars, 1)[:, None]
+            by_class = np.min([distances(share, c[None, :]) for c in self._classes], axis=0)
+            by_class[chars < r.min_chars_for_classes] = np.nan
+        common = self._known()[:, m.slots]
+        words = np.bincount(m.owner[common[-1] > 0], minlength=n)
+        if self._words:
+            each = []
+            for own, reference in zip(common[:-1], self._words, strict=True):
+                width, hit = len(reference), own >= 0
+                hist = np.bincount(m.owner[hit] * width + own[hit], minlength=n * width).reshape(n, width)
+                hist[:, -1] = words - hist[:, :-1].sum(axis=1)
+                each.append(distances(hist / np.maximum(words, 1)[:, None], reference[None, :]))
+            by_word = np.min(each, axis=0)
+            by_word[words < r.min_words_for_words] = np.nan
+        near = ~(by_class > r.max_class_distance) & ~(by_word > r.max_word_distance + r.short_slack / np.sqrt(np.maximum(words, 1)))
+        return m, failed, by_class, by_word, ~failed & near
 
 
 def judge(docs: DataFrame, references: References, rules: Rules = Rules()) -> DataFrame:
@@ -214,11 +284,14 @@ def judge(docs: DataFrame, references: References, rules: Rules = Rules()) -> Da
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         by = Judge(*shared.value)
         for part in (p for b in batches for p in slices(b)):
-            rows = [_verdict(t, by, rules) for t in texts(part)]
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=names)
+            m, failed, by_class, by_word, kept = by.judge(texts(part))
+            counts = [pa.array(np.asarray(x, np.int64)) for x in (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words)]
+            far = [pa.array(x, pa.float64(), from_pandas=True) for x in (by_class, by_word)]  # nan becomes null
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(failed), *far, pa.array(kept)], names=names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
@@ -230,13 +303,6 @@ def keep(docs: DataFrame, references: References, rules: Rules = Rules()) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Judge(*shared.value)
         for part in (p for b in batches for p in slices(b)):
-            yield part.filter(pa.array([_verdict(t, by, rules)[-1] for t in texts(part)], pa.bool_()))
+            yield part.filter(pa.array(by.judge(texts(part))[-1]))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def _verdict(text: str, by: Judge, rules: Rules) -> tuple:
-    base = base_metrics(text, rules.window)
-    failed = base[0] < rules.min_words or 100 * base[4] > rules.repeat_percent * base[0]
-    by_class, by_word, n = by.distances(text)
-    return (*base, failed, by_class, by_word, not failed and by.keeps(by_class, by_word, n))
