@@ -117,15 +117,22 @@ def least_in(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def _first_of(order: np.ndarray, width: int) -> np.ndarray:
-    """Offset in each window of the first place with the least value of ``order``."""
+def _ends_of(order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets in each window of the first and of the last place with the least value of ``order``."""
     n = len(order) - width + 1
-    best, at = order[:n].copy(), np.zeros(n, np.int64)
+    best, first, last = order[:n].copy(), np.zeros(n, np.int32), np.zeros(n, np.int32)
     for i in range(1, width):
-        less = order[i : i + n] < best
-        best[less] = order[i : i + n][less]
-        at[less] = i
-    return at
+        now = order[i : i + n]
+        np.copyto(first, i, where=now < best)
+        np.copyto(last, i, where=now <= best)
+        np.minimum(best, now, out=best)
+    return first, last
+
+
+def _rich(codes: np.ndarray, k: int) -> np.ndarray:
+    """Whether more than half of each window's bases are G or T."""
+    heavy = np.r_[0, np.cumsum((codes == 2) | (codes == 3))]
+    return heavy[k:] - heavy[: len(heavy) - k] > k // 2
 
 
 def open_closed(codes: np.ndarray, k: int, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,14 +149,11 @@ def open_closed(codes: np.ndarray, k: int, m: int, seed: int) -> tuple[np.ndarra
     low, n = least_in(inner, t - s + 1), len(codes) - t + 1
     middle = inner[(t - s) // 2 : (t - s) // 2 + n] == low
     edge = (inner[:n] == low) | (inner[t - s : t - s + n] == low)
-    kind = np.where(middle, 0, np.where(edge, 1, 2))
-    # the rank of a window of t bases, as a dense number
-    _, rank = np.unique(np.rec.fromarrays([kind, mixsplit(canonical(codes, t), seed)]), return_inverse=True)
-    left = _first_of(rank, k - t + 1)
-    right = (k - t) - _first_of(rank[::-1], k - t + 1)[::-1]
-    heavy = np.r_[0, np.cumsum((codes == 2) | (codes == 3))]
-    many = heavy[k:] - heavy[: len(heavy) - k] > k // 2
-    chosen = np.where(many, right, left)
+    kind = np.where(middle, _U(0), np.where(edge, _U(1), _U(2)))
+    # the kind of a window of t bases goes before its hash, of which 62 bits decide
+    rank = (kind << _U(62)) | (mixsplit(canonical(codes, t), seed) >> _U(2))
+    first, last = _ends_of(rank, k - t + 1)
+    chosen = np.where(_rich(codes, k), last, first)
     starts = np.flatnonzero(ok)
     return starts, starts + chosen[starts] % w
 
@@ -159,13 +163,9 @@ def hashed_minimizers(codes: np.ndarray, k: int, m: int, seed: int) -> tuple[np.
     ok = whole(codes, k)
     if not ok.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, rank = np.unique(mixsplit(canonical(codes, m), seed), return_inverse=True)
-    left = _first_of(rank, k - m + 1)
-    right = (k - m) - _first_of(rank[::-1], k - m + 1)[::-1]
-    heavy = np.r_[0, np.cumsum((codes == 2) | (codes == 3))]
-    many = heavy[k:] - heavy[: len(heavy) - k] > k // 2
+    first, last = _ends_of(mixsplit(canonical(codes, m), seed), k - m + 1)
     starts = np.flatnonzero(ok)
-    return starts, starts + np.where(many, right, left)[starts]
+    return starts, starts + np.where(_rich(codes, k), last, first)[starts]
 
 
 def linked(place: np.ndarray, run: np.ndarray, hashes: np.ndarray, least: int, most: int) -> np.ndarray:

@@ -118,6 +118,7 @@ ORACLE_SQL: dict[str, str] = {
     "spaced_seed_records": _records(31, mask=MASK),
     "spaced_seed_short_records": _records(8, 0.99, mask="##_##_##"),
     "modimizer_sample": _keys(21) + f" SELECT id AS dataset_id, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS unique_kmers FROM post JOIN codes USING (key) WHERE {_mod(16)} GROUP BY 1",
+    "modimizer_records": _search(21).replace("FROM q GROUP BY ALL)", f"FROM q WHERE key IN (SELECT key FROM (SELECT key, {_code('key', 21)} AS code FROM (SELECT DISTINCT key FROM q)) WHERE {_mod(4)}) GROUP BY ALL)") + _KEPT.format(ratio=0.8),
     "long_kmer_records": _records(49),
     "findere_records": _findere(31, 10, "doc_id") + _KEPT.format(ratio=0.8),
     "findere_aggregate": _findere(31, 10, _NUMBER)
