@@ -29,25 +29,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def write_shared(df: DataFrame, name: str, releasable: bool = True) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends here and lost executors cost nothing.
+
+    The shuffle files of the write are removed at its end; ``discard`` or
+    ``release_shared`` removes the table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     if releasable:
         _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    made = spark.read.schema(schema).parquet(path)
+    made.shared_path = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if (spark, path) in _written:
+        _written.remove((spark, path))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of write_shared that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table.shared_path)
 
 
 def release_shared(spark: SparkSession) -> None:
     """Deletes the tables of write_shared; for callers that have stored every result made from them."""
-    for owner, path in [x for x in _written if x[0] is spark]:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        _written.remove((owner, path))
+    for _, path in [x for x in _written if x[0] is spark]:
+        _delete(spark, path)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, write_shared
+from .common import discard, slices, texts, write_shared
 
 STEP = 10
 _ODD = 0x9E3779B97F4A7C15
@@ -230,30 +230,38 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 24) -> DataFr
     one = long_enough.join(by_doc, ["doc_id", "tag"]).select("doc_id", "tag", "text", "found")
     stretches = one.mapInArrow(_contexts(length), _ANCHOR + ", whole long, context binary")
     stretches = write_shared(stretches, "suffix-stretches")
+    discard(again)
 
     place = F.struct("doc_id", "tag", "p")
     classes = write_shared(stretches.groupBy("h", "whole").agg(F.min(place).alias("first"), F.count("*").alias("n")), "suffix-classes")
     copies = stretches.select("h", "whole", *("doc_id", "tag", "p", "most", "least")).join(classes.where("n > 1").drop("n"), ["h", "whole"]).where(place != F.col("first"))
     removed = copies.select("doc_id", "tag", (F.col("p") - F.col("most")).alias("start"), (F.col("p") - F.col("least") + length).alias("end"))
+    removed = write_shared(removed, "suffix-copies")
 
     several = classes.groupBy("h").agg(F.count("*").alias("classes")).where("classes > 1").select("h")
     firsts = write_shared(classes.join(several, "h").select("first.doc_id", "first.tag", "first.p"), "suffix-firsts")
     chosen = write_shared(stretches.join(firsts, ["doc_id", "tag", "p"]).dropDuplicates(["doc_id", "tag", "p"]).select("h", "doc_id", "tag", "p", "most", "least", "context"), "suffix-chosen")
+    discard(stretches, classes, firsts)
     runs = write_shared(chosen.mapInArrow(_runs(length), "h long, doc_id long, tag long, p int, node int, low int, high int, core long, full long"), "suffix-runs")
     ranks = runs.groupBy("h", "node", "core").agg(F.count("*").alias("n"), F.min("full").alias("least_full"), F.max("full").alias("most_full"), F.min(place).alias("first")).where("n > 1")
-    ranked = write_shared(runs.join(write_shared(ranks, "suffix-ranks"), ["h", "node", "core"]), "suffix-ranked")
+    ranks = write_shared(ranks, "suffix-ranks")
+    ranked = write_shared(runs.join(ranks, ["h", "node", "core"]), "suffix-ranked")
+    discard(runs, ranks)
     settled = F.col("least_full") == F.col("most_full")
     removed_runs = ranked.where(settled & (place != F.col("first"))).select("doc_id", "tag", (F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + length).alias("end"))
 
     left = ranked.where(~settled).select("doc_id", "tag", "p", "low", "high")
     strings = chosen.join(left, ["doc_id", "tag", "p"]).select("h", "doc_id", "tag", "p", "low", "high", "most", "context")
     strings = write_shared(strings.mapInArrow(_strings(length), "h long, doc_id long, tag long, p int, offset int, value long"), "suffix-strings")
+    discard(chosen)
     firsts_of = write_shared(strings.groupBy("h", "offset", "value").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-string-firsts")
     last = strings.join(firsts_of, ["h", "offset", "value"]).where(place != F.col("first"))
     removed_strings = last.select("doc_id", "tag", (F.col("p") - F.col("offset")).alias("start"), (F.col("p") - F.col("offset") + length).alias("end"))
 
     spans = removed.union(removed_runs).union(removed_strings).select("doc_id", "tag", F.struct("start", "end").alias("span"))
-    return spans.groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans"))
+    found = write_shared(spans.groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans")), "suffix-spans")
+    discard(removed, ranked, strings, firsts_of)
+    return found
 
 
 def _cut(body: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
@@ -285,7 +293,7 @@ def removal_report(docs: DataFrame, length: int = 100, gram: int = 24) -> DataFr
             rows = [_digest(t, s if s.is_valid else None) for t, s in zip(texts(part), part.column("spans"), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int64()] * 3 + [pa.string()]))], names=names)
 
-    spans = write_shared(repeated_spans(docs, length, gram), "suffix-spans")
+    spans = repeated_spans(docs, length, gram)
     joined = _keyed(docs).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -299,7 +307,7 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = 24) -> DataF
             left = [None if t is None else _cut(t.encode(), s)[0].decode(errors="ignore") if s.is_valid else t for t, s in zip(part.column("text").to_pylist(), part.column(own_spans), strict=True)]
             yield part.drop_columns([own_spans]).set_column(part.schema.get_field_index("text"), "text", pa.array(left, pa.string()))
 
-    spans = write_shared(repeated_spans(docs, length, gram), "suffix-spans")
+    spans = repeated_spans(docs, length, gram)
     spans = spans.select(F.col("doc_id").alias("_repeat_id"), F.col("tag").alias(tag), F.col("spans").alias(own_spans))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(spans, (F.col("doc_id") == F.col("_repeat_id")) & (F.crc32(text) == F.col(tag)), "left").select(*docs.columns, own_spans)
