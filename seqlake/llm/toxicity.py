@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, slices, texts
 
-BITS = 22
+#: So wide that a clean term hardly ever shares the hash of a telling one.
+BITS = 31
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -66,7 +67,7 @@ class Machine:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(found: list, labels: list[int], factors: int = 4, max_terms: int = 30_000, least_g: float = 15.0, steps: int = 150, penalty: float = 2e-4) -> Machine:
+def fit(found: list, labels: list[int], factors: int = 4, max_terms: int = 30_000, least_g: float = 15.0, steps: int = 300, penalty: float = 1e-6) -> Machine:
     """From an array of distinct terms for each row and its label, 0 or 1."""
     import numpy as np
 
@@ -75,22 +76,27 @@ def fit(found: list, labels: list[int], factors: int = 4, max_terms: int = 30_00
     none = Machine(math.log(share / (1 - share)) if 0 < share < 1 else 60.0 if share else -60.0, {}, [], [])
     if not 0 < share < 1:
         return none
-    every, row = np.concatenate(found), np.repeat(np.arange(len(y)), [len(f) for f in found])
-    n = np.bincount(every, minlength=1 << BITS).astype(float)
-    with_1 = np.bincount(every, weights=y[row], minlength=1 << BITS)
-    g = np.zeros(len(n))
+    ids, n = np.unique(np.concatenate(found), return_counts=True)
+    ids_1, n_1 = np.unique(np.concatenate([f for f, label in zip(found, labels, strict=True) if label]), return_counts=True)
+    with_1 = np.zeros(len(ids))
+    with_1[np.searchsorted(ids, ids_1)] = n_1
+    often = n >= 3
+    ids, n, with_1 = ids[often], n[often].astype(float), with_1[often]
+    g = np.zeros(len(ids))
     for seen, expected in ((with_1, n * share), (n - with_1, n * (1 - share)), (y.sum() - with_1, (len(y) - n) * share), (len(y) - y.sum() - (n - with_1), (len(y) - n) * (1 - share))):
         with np.errstate(divide="ignore", invalid="ignore"):
             g += np.where(seen > 0, 2 * seen * np.log(seen / expected), 0)
-    g[n < 3] = 0
     kept = np.argsort(-g, kind="stable")[:max_terms]
-    kept = np.sort(kept[g[kept] >= least_g])
+    kept = np.sort(ids[kept[g[kept] >= least_g]])
     if not len(kept):
         return none
-    at = np.full(1 << BITS, -1)
-    at[kept] = np.arange(len(kept))
-    col = at[every]
-    row, col = row[col >= 0], col[col >= 0]
+    rows, cols = [], []
+    for r, f in enumerate(found):
+        at = np.searchsorted(kept, f)
+        hit = kept[np.minimum(at, len(kept) - 1)] == f
+        cols.append(at[hit])
+        rows.append(np.full(int(hit.sum()), r))
+    row, col = np.concatenate(rows), np.concatenate(cols)
     order = np.argsort(col, kind="stable")
     row_by_col, edges = row[order], np.searchsorted(col[order], np.arange(len(kept)))
     width = len(kept)
@@ -122,7 +128,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(made, pa.binary())], names=["label", "terms"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_docs: int = 12_000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_docs: int = 8_000) -> Machine:
     """From the texts of a bounded sample of the rows in labels(doc_id, label)."""
     import numpy as np
 
@@ -131,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_do
     bodies = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     # the sample's bound makes this side small whatever the input
     rows = bodies.join(F.broadcast(marked), "doc_id").select("text", "label").mapInArrow(_terms, "label int, terms binary").collect()
-    return fit([np.frombuffer(r["terms"], np.uint32).astype(np.int64) for r in rows], [r["label"] for r in rows])
+    return fit([np.frombuffer(r["terms"], np.uint32) for r in rows], [r["label"] for r in rows])
 
 
 class Scorer:
