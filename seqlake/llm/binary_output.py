@@ -91,7 +91,7 @@ def matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: i
         import numpy as np
         from pyspark import TaskContext
 
-        coder, sequence = bpe.of_worker(shared.value), TaskContext.get().partitionId() << 40
+        coder, sequence = bpe.of_worker(shared.value, by_ranks=True), TaskContext.get().partitionId() << 40
         upto = np.arange(window, dtype="<u4")
         last = b"" if separator is None else np.array([separator], "<u4").tobytes()
 

@@ -26,6 +26,10 @@ from .common import slices, texts, workers_quiet
 from .units import UnitCache
 
 
+#: Fixed value: how byte-level tokenizers split a text before they merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def byte_table() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies.
 
@@ -70,9 +74,13 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 class ByteBPE:
-    """Encodes and decodes in one Python worker."""
+    """Encodes and decodes in one Python worker.
 
-    def __init__(self, tokenizer: str):
+    ``by_ranks`` merges new units by rank with tiktoken where that gives the
+    same ids, at a quarter of the time.
+    """
+
+    def __init__(self, tokenizer: str, by_ranks: bool = False):
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -85,13 +93,48 @@ class ByteBPE:
         for token, i in vocab.items():
             self.pieces[i] = token.encode() if i in added else bytes(byte_of[c] for c in token)
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self._cache = UnitCache(self._encode_units)
+        self._added = [x["content"] for x in json.loads(tokenizer).get("added_tokens") or ()]
+        ranks = self._ranks(json.loads(tokenizer)) if by_ranks else None
+        if ranks and b"\n" in ranks:
+            import tiktoken
+
+            self._feed = ranks[b"\n"]
+            self._ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._cache = UnitCache(self._encode_joined if ranks and b"\n" in ranks else self._encode_units)
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+    def _encode_joined(self, units: list[str]) -> list[bytes]:
+        """By rank merging: units without line feeds many at a time, a line feed between them, and told apart by its id."""
+        import numpy as np
+
+        out: dict[str, bytes] = {}
+        plain = [u for u in units if u and "\n" not in u and not u[-1].isspace() and not any(a in u for a in self._added)]
+        for start in range(0, len(plain), 500):
+            run = plain[start : start + 500]
+            ids = self._ranked.encode_to_numpy("\n".join(run), disallowed_special=()).astype("<u4")
+            edges = [-1, *np.flatnonzero(ids == self._feed).tolist(), len(ids)]
+            if len(edges) == len(run) + 1:
+                data = ids.tobytes()
+                out.update((u, data[4 * a + 4 : 4 * b]) for u, a, b in zip(run, edges[:-1], edges[1:], strict=True))
+        rest = [u for u in units if u not in out]
+        out.update(zip(rest, self._encode_units(rest), strict=True))
+        return [out[u] for u in units]
+
+    def _ranks(self, made: dict) -> dict[bytes, int] | None:
+        """The vocabulary as ranks, if the tokenizer splits by the byte-level pattern and merges in the order of its ids."""
+        first, model = made.get("pre_tokenizer") or {}, made["model"]
+        if made.get("normalizer") or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True) or model.get("dropout") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+            return None
+        vocab = model["vocab"]
+        order = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if order != sorted(order):
+            return None
+        return {self.pieces[i]: i for token, i in vocab.items() if token not in self._added}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         return self._cache.encode(texts)
@@ -116,12 +159,12 @@ class ByteBPE:
 _made: dict[int, ByteBPE] = {}
 
 
-def of_worker(tokenizer: str) -> ByteBPE:
+def of_worker(tokenizer: str, by_ranks: bool = False) -> ByteBPE:
     """The encoder of this Python worker, kept between tasks."""
-    key = hash(tokenizer)
+    key = hash((tokenizer, by_ranks))
     if key not in _made:
         _made.clear()
-        _made[key] = ByteBPE(tokenizer)
+        _made[key] = ByteBPE(tokenizer, by_ranks)
     return _made[key]
 
 

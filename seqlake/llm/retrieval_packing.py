@@ -47,17 +47,17 @@ def tokens_table(docs: DataFrame, tokenizer: str, separator: int | None = 0) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        coder = bpe.of_worker(shared.value)
+        coder = bpe.of_worker(shared.value, by_ranks=True)
         size = len(coder.pieces)
         draw = np.random.default_rng(11).exponential(size=size) / np.log2(np.arange(size) + 3)
         for part in (p for b in batches for p in slices(b)):
             near, second, ids = [], [], []
             for code in coder.encode(texts(part)):
                 own = np.frombuffer(code, "<u4")
-                least = np.partition(draw[own], 0)[0] if len(own) else 0.0
+                drawn = draw[own]
+                least = drawn.min(initial=np.inf)
                 near.append(float(least))
-                above = draw[own][draw[own] > least] if len(own) else own
-                second.append(float(above.min()) if len(above) else 0.0)
+                second.append(float(drawn.min(initial=np.inf, where=drawn > least)))
                 ids.append((own if separator is None else np.append(own, np.uint32(separator))).astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(near, pa.float64()), pa.array(second, pa.float64()), pa.array(ids, pa.binary())], names=["doc_id", "near", "near_2", "ids"])
 

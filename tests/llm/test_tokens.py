@@ -59,6 +59,15 @@ def test_encoder_equals_the_library(tokenizer, library):
         assert coder.decode(code) == text.encode()
 
 
+def test_ids_by_ranks_equal_the_library():
+    texts = [*noise(2000, 4), *(t or "" for _, t, _ in ROWS), " <|endoftext|>\n\n<|endoftext|> a"]
+    library, coder = Tokenizer.from_str(json_tokenizer()), bpe.ByteBPE(json_tokenizer(), by_ranks=True)
+    assert coder._cache._encode_many == coder._encode_joined
+    for text, code in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(code, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert bpe.PATTERN == P.PATTERN
+
+
 def test_offsets_and_split_characters(tokenizer):
     coder, text = bpe.ByteBPE(tokenizer), "a漢😀 é<x"
     code = coder.encode([text])[0]
