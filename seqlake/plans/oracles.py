@@ -47,7 +47,11 @@ _NUMBER = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT)"
 def _search(k: int, ident: str = "doc_id", seq: str | None = None, query_seq: str | None = None, mask: str | None = None) -> str:
     """CTEs found(query_id, dataset_id, matches) and totals(query_id, queried_seeds)."""
     seq = seq or _dna()
-    return f"""WITH {_windows('d', 'documents', ident, k, seq, mask)}, {_windows('q', 'benchmark', 'item_id', k, query_seq or seq, mask)},
+    return _joined(_windows("d", "documents", ident, k, seq, mask), _windows("q", "benchmark", "item_id", k, query_seq or seq, mask))
+
+
+def _joined(d: str, q: str) -> str:
+    return f"""WITH {d}, {q},
 weighted AS (SELECT id, key, count(*) AS n FROM q GROUP BY ALL),
 hits AS (SELECT DISTINCT id, key FROM d WHERE key IN (SELECT key FROM weighted)),
 totals AS (SELECT item_id AS query_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS queried_seeds FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN weighted ON id = item_id GROUP BY 1),
@@ -94,6 +98,27 @@ totals AS (SELECT item_id AS query_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS qu
 """
 
 
+def _minimizers(name: str, table: str, ident: str, k: int, m: int, part: int) -> str:
+    """CTE name(id, run, pos, key): the chosen windows of m bases, where windows of ``part`` bases are ranked by their hash alone.
+
+    For k = 39 and m = 31 the open-closed rule ranks windows of four bases,
+    which are their own middle: part is 4.  Plain minimizers have part = m.
+    """
+    w, place = k - m + 1, 1 << 20
+    last = f"WINDOW w AS (PARTITION BY id, run ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k - part} FOLLOWING)"
+    return f"""{_windows(name + '_f', table, ident, part, _dna())},
+{name}_h AS (SELECT key, {_split(f'(code::UHUGEINT + 69::UHUGEINT) % {_M64}::UHUGEINT')} AS h FROM (SELECT key, {_code('key', part)} AS code FROM (SELECT DISTINCT key FROM {name}_f))),
+{name}_p AS (SELECT id, run, pos, min(h * {place}::UHUGEINT + pos::UHUGEINT) OVER w AS low, min(h * {place}::UHUGEINT + ({place - 1} - pos)::UHUGEINT) OVER w AS high FROM {name}_f JOIN {name}_h USING (key) {last}),
+{name}_c AS (SELECT id, run, pos AS start, run_seq, CASE WHEN len(translate(substr(run_seq, pos + 1, {k}), 'AC', '')) > {k // 2} THEN {place - 1} - (high % {place})::BIGINT ELSE (low % {place})::BIGINT END - pos AS anchor
+  FROM {name}_p JOIN {name}_f_runs USING (id, run) WHERE pos + {k} <= len(run_seq)),
+{name}_s AS (SELECT id, run, start, run_seq, start + anchor % {w} AS pos FROM {name}_c),
+{name}_n AS (SELECT id, run, pos, substr(run_seq, pos + 1, {m}) AS s FROM {name}_s QUALIFY pos IS DISTINCT FROM lag(pos) OVER (PARTITION BY id, run ORDER BY start)),
+{name} AS (SELECT id, run, pos, least(s, {_rc('s')}) AS key FROM {name}_n)"""
+
+
+_DENSITY = " SELECT id AS dataset_id, count(*) AS selected, count(DISTINCT key) AS distinct_seeds FROM d GROUP BY 1"
+
+
 _name = "regexp_extract(regexp_replace(url, '[?#].*$', '') || '.fna.gz', '[^/]*$')"
 for _suffix in FILE_SUFFIXES:
     _name = f"regexp_replace({_name}, '{_suffix.replace('.', chr(92) + '.')}$', '')"
@@ -123,6 +148,9 @@ ORACLE_SQL: dict[str, str] = {
     "findere_records": _findere(31, 10, "doc_id") + _KEPT.format(ratio=0.8),
     "findere_aggregate": _findere(31, 10, _NUMBER)
     + f"SELECT color, CAST(coalesce(m, 0) AS BIGINT) AS matches, coalesce(m, 0)::DOUBLE / (SELECT sum(queried_seeds) FROM totals) AS ratio FROM (SELECT DISTINCT source AS color, {_NUMBER} AS dataset_id FROM documents) LEFT JOIN (SELECT dataset_id, sum(matches) AS m FROM found GROUP BY 1) USING (dataset_id)",
+    "minimizer_ocm_positions": f"WITH {_minimizers('d', 'documents', 'doc_id', 39, 31, 4)}" + _DENSITY,
+    "minimizer_ocm_records": _joined(_minimizers("d", "documents", "doc_id", 39, 31, 4), _minimizers("q", "benchmark", "item_id", 39, 31, 4)) + _KEPT.format(ratio=0.8),
+    "minimizer_hashed_density": f"WITH {_minimizers('d', 'documents', 'doc_id', 39, 31, 31)}" + _DENSITY,
     "union_origin_masks": f"WITH {_windows('d', 'documents', _NUMBER, 31, _dna())}, masks AS (SELECT key, bit_or(1::BIGINT << id) AS mask FROM d GROUP BY 1) SELECT mask, count(*) AS keys FROM masks GROUP BY 1",
     "sketch_jaccard_pairs": _keys(15)
     + f""", hashed AS (SELECT key, {_split('(code::UHUGEINT + 69::UHUGEINT) % ' + str(_M64) + '::UHUGEINT')} AS h FROM codes),
