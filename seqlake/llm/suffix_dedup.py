@@ -101,39 +101,55 @@ def anchors(bodies: list[bytes], length: int, gram: int):
     return d, at[new] - begin[d], starts[new] - begin[d], starts[last] - begin[d], grams[at[new]]
 
 
+_ANCHOR = "h long, doc_id long, tag long, p int, most short, least short"
+#: Whether a gram recurs in the texts that a task looks at together: no, yes and not the first there, yes and the first.
+ALONE, AGAIN, FIRST = 0, 1, 2
+
+
 def _find(length: int, gram: int):
+    """Anchors, with what their own run of texts says about them, and the key they are dealt by.
+
+    Of a gram that recurs within the run only the first has to meet the other
+    runs; the rest is known to be repeated and goes anywhere, so that a very
+    common gram does not gather in one task.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, limit=1 << 20)):
             d, p, first, last, h = anchors([t.encode() for t in texts(part)], length, gram)
             ids, tags = (part.column(k).to_numpy() for k in ("doc_id", "tag"))
+            _, at, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            known = np.where(n[back] == 1, ALONE, np.where(at[back] == np.arange(len(h)), FIRST, AGAIN)).astype(np.int8)
+            deal = np.where(known == AGAIN, _mix(h + np.arange(len(h), dtype=np.uint64)), h)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ids[d]), pa.array(tags[d]), pa.array(p.astype(np.int32)), pa.array((p - first).astype(np.int16)), pa.array((p - last).astype(np.int16))],
-                names=["h", "doc_id", "tag", "p", "most", "least"],
+                [pa.array(h.view(np.int64)), pa.array(ids[d]), pa.array(tags[d]), pa.array(p.astype(np.int32)), pa.array((p - first).astype(np.int16)), pa.array((p - last).astype(np.int16)), pa.array(known), pa.array(deal.view(np.int64))],
+                names=["h", "doc_id", "tag", "p", "most", "least", "known", "deal"],
             )
 
     return run
 
 
-_ANCHOR = "h long, doc_id long, tag long, p int, most short, least short"
-
-
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of batches sorted by h, the rows whose h another row has."""
+    """Of batches sorted by h, the rows that are known to be repeated or whose h another row has."""
     import numpy as np
 
     before: pa.RecordBatch | None = None
-    told = False  # whether ``before``, the last row so far, has an equal before it
+    told = False  # whether ``before``, the last row so far, is repeated
     for b in batches:
+        known = b.column("known").to_numpy()
+        b = b.drop_columns(["known"])
+        yield b.filter(pa.array(known == AGAIN))
+        b, known = b.filter(pa.array(known != AGAIN)), known[known != AGAIN]
         if not b.num_rows:
             continue
         h = b.column("h").to_numpy()
         same = np.r_[before is not None and before.column("h")[0].as_py() == h[0], h[1:] == h[:-1]]
-        keep = same | np.r_[same[1:], False]
+        keep = same | np.r_[same[1:], False] | (known == FIRST)
         if before is not None and (told or same[0]):
             yield before
-        before, told = b.slice(b.num_rows - 1), bool(same[-1])
+        before, told = b.slice(b.num_rows - 1), bool(keep[-1])
         keep[-1] = False
         yield b.filter(pa.array(keep))
     if before is not None and told:
@@ -223,8 +239,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 24) -> DataFr
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs).where("doc_id is not null")
     long_enough = keyed.where(F.octet_length("text") >= length)
-    every = long_enough.select("doc_id", "tag", "text").mapInArrow(_find(length, gram), _ANCHOR)
-    again = write_shared(every.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_repeated, _ANCHOR), "suffix-anchors")
+    every = long_enough.select("doc_id", "tag", "text").mapInArrow(_find(length, gram), _ANCHOR + ", known byte, deal long")
+    dealt = every.repartition(parts, "deal").drop("deal").sortWithinPartitions("h")
+    again = write_shared(dealt.mapInArrow(_repeated, _ANCHOR), "suffix-anchors")
 
     by_doc = again.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h", "p", "most", "least")).alias("found"))
     one = long_enough.join(by_doc, ["doc_id", "tag"]).select("doc_id", "tag", "text", "found")
