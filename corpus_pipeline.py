@@ -35,10 +35,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group."""
+    """The document with the smallest doc_id of each group; of rows that repeat an id one stays."""
     _begin(spark)
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(write_shared(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(write_shared(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    if not again.limit(1).count():
+        return kept
+    again = write_shared(again, "repeated-ids")
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").union(once).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,3 +172,21 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in pieces} == set(cut)
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, nulls, repeated rows and odd texts pass through every stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, rows in (("none", []), ("odd", [*ROWS, (None, None, None), (7, None, None), ROWS[9], ROWS[9]])):
+        sf = str(tmp_path / name)
+        frame(spark, rows).select(columns).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, sf).write.parquet(f"{sf}/{k}")
+            docs = spark.read.parquet(f"{sf}/{k}")
+            if k == 2:
+                ids = [r.doc_id for r in docs.select("doc_id").collect() if r.doc_id is not None]
+                assert len(ids) == len(set(ids))
+        assert bool(docs.count()) == bool(rows)
