@@ -108,21 +108,27 @@ class ByteBPE:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def _encode_joined(self, units: list[str]) -> list[bytes]:
-        """By rank merging: units without line feeds many at a time, a line feed between them, and told apart by its id."""
+        """By rank merging: units many at a time, a line feed between them, and told apart by its id.
+
+        A line feed that starts a unit is a token of its own.
+        """
         import numpy as np
 
-        out: dict[str, bytes] = {}
-        plain = [u for u in units if u and "\n" not in u and not u[-1].isspace() and not any(a in u for a in self._added)]
-        for start in range(0, len(plain), 500):
-            run = plain[start : start + 500]
-            ids = self._ranked.encode_to_numpy("\n".join(run), disallowed_special=()).astype("<u4")
-            edges = [-1, *np.flatnonzero(ids == self._feed).tolist(), len(ids)]
-            if len(edges) == len(run) + 1:
-                data = ids.tobytes()
-                out.update((u, data[4 * a + 4 : 4 * b]) for u, a, b in zip(run, edges[:-1], edges[1:], strict=True))
-        rest = [u for u in units if u not in out]
-        out.update(zip(rest, self._encode_units(rest), strict=True))
-        return [out[u] for u in units]
+        out: list[bytes] = []
+        feed = np.array([self._feed], "<u4").tobytes()
+        for start in range(0, len(units), 500):
+            run = units[start : start + 500]
+            bodies = [u[1:] if u[:1] == "\n" else u for u in run]
+            joined = "\n".join(bodies)
+            if joined.count("\n") == len(run) - 1 and all(bodies) and not any(b[-1].isspace() for b in bodies) and not any(a in joined for a in self._added):
+                ids = self._ranked.encode_to_numpy(joined, disallowed_special=()).astype("<u4")
+                data, edges = ids.tobytes(), (4 * np.flatnonzero(ids == self._feed)).tolist()
+                if len(edges) == len(run) - 1:
+                    parts = [data[a:b] for a, b in zip([0, *(e + 4 for e in edges)], [*edges, len(data)], strict=True)]
+                    out += [feed + p if u[0] == "\n" else p for u, p in zip(run, parts, strict=True)]
+                    continue
+            out += self._encode_units(run)
+        return out
 
     def _ranks(self, made: dict) -> dict[bytes, int] | None:
         """The vocabulary as ranks, if the tokenizer splits by the byte-level pattern and merges in the order of its ids."""

@@ -74,9 +74,9 @@ class Shard:
         found = [np.unique(x, return_counts=True) for x in ids]
         sizes = np.array([len(t) for t, _ in found])
         self._edges = np.r_[0, np.cumsum(sizes)]
-        term, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found]).astype(float)
+        self._terms, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found]).astype(float)
         doc = np.repeat(np.arange(self.n), sizes)
-        _, self._terms, df = np.unique(term, return_inverse=True, return_counts=True)
+        df = np.bincount(self._terms)
         length = np.array([len(x) for x in ids], float)
         idf = np.log((self.n - df + 0.5) / (df + 0.5))
         weight = idf[self._terms] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * length[doc] / max(length.mean(), 1)))

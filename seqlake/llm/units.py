@@ -41,7 +41,7 @@ class UnitCache:
                 units = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             split.append(units)
             seen.update(units)
-        new = [u for u in seen if u not in self._known]
+        new = seen.difference(self._known)
         # what the quick split cut within a run of white space is split again with care
         odd = {u for u in new if u[:1] in " \n" and (len(u) == 1 or u[1].isspace()) or u[-1:].isspace()}
         odd.discard("")
