@@ -42,7 +42,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         made = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -107,7 +107,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     import numpy as np
 
-    for part in (p for b in batches for p in slices(b)):
+    for part in (p for b in batches for p in slices(b, limit=1 << 20)):
         sets = [shingles(t) for t in texts(part)]
         made = sketch(sets)
         keys = np.zeros((len(sets), BANDS), np.uint64)

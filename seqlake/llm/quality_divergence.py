@@ -171,7 +171,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_slot.clear(), by_class.clear(), slots.clear(), slots.plain.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "word", "class", "n"])
 
-    for part in (p for b in batches for p in slices(b)):
+    for part in (p for b in batches for p in slices(b, limit=1 << 20)):
         m = measure(texts(part), slots)
         langs = np.array(part.column("lang").to_pylist(), object)
         for lang in set(langs.tolist()):
@@ -181,7 +181,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[: len(old)] += old
             by_slot[lang] = counts
             by_class[lang] = by_class.get(lang, 0) + m.classes[own].sum(axis=0)
-        if len(slots) > 300_000:
+        if len(slots) > 200_000:
             yield flush()
     if by_slot:
         yield flush()
@@ -220,7 +220,7 @@ def distances(p, q):
 class Judge:
     """Judges texts in one worker; remembers up to ``most`` tokens."""
 
-    def __init__(self, references: References, rules: Rules, most: int = 600_000):
+    def __init__(self, references: References, rules: Rules, most: int = 250_000):
         import numpy as np
 
         self.rules, self._most = rules, most
@@ -287,7 +287,7 @@ def judge(docs: DataFrame, references: References, rules: Rules = Rules()) -> Da
         import numpy as np
 
         by = Judge(*shared.value)
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, limit=1 << 20)):
             m, failed, by_class, by_word, kept = by.judge(texts(part))
             counts = [pa.array(np.asarray(x, np.int64)) for x in (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words)]
             far = [pa.array(x, pa.float64(), from_pandas=True) for x in (by_class, by_word)]  # nan becomes null
@@ -302,7 +302,7 @@ def keep(docs: DataFrame, references: References, rules: Rules = Rules()) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Judge(*shared.value)
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, limit=1 << 20)):
             yield part.filter(pa.array(by.judge(texts(part))[-1]))
 
     return docs.mapInArrow(run, docs.schema)

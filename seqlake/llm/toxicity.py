@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_do
 
 
 class Scorer:
-    def __init__(self, machine: Machine, most: int = 600_000):
+    def __init__(self, machine: Machine, most: int = 250_000):
         self._machine, self._most = machine, most
         self._known: dict[str, tuple[int, ...]] = {}
 

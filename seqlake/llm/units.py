@@ -26,7 +26,7 @@ class UnitCache:
     characters are kept only for the call that met them.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], most: int = 1_000_000, longest: int = 64):
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], most: int = 700_000, longest: int = 64):
         self._encode_many, self._most, self._longest = encode_many, most, longest
         self._known: dict[str, bytes | None] = {"": b""}
 
