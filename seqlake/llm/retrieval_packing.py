@@ -1,10 +1,13 @@
 """Packing by lexical retrieval: a sharded BM25 index finds what fills a window.
 
-Token ids are written once as a table with a locality key, a weighted
-min-hash of the distinct ids, and dealt by ranges of that key, so that
-documents that share rare tokens meet in one shard and a key that many
-documents share is cut by their ids.  A shard is at most ``SHARD_DOCS``
-consecutive documents; its inverted index covers every distinct token of each.
+Token ids are written once as a table, with the counts of the documents that
+each id stands in; Spark sums these over all documents.  The table is dealt
+by ranges of a locality key: the first ``LEVELS`` distinct ids of a document
+in an order drawn by squared idf.  So documents that share rare tokens meet
+in one shard, and what many share is cut by further content; only documents
+with all of a key in common are cut by their ids.  A shard is at most
+``SHARD_DOCS`` consecutive documents; its inverted index covers every
+distinct token of each, with the idf and mean length of all documents.
 
 A window starts with a seed document.  The index ranks the unused documents
 of the shard for it; those that fit whole go in by rank, and the best one
@@ -22,14 +25,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bpe
 from .common import slices, texts, write_shared
 
 WINDOW, SHARD_DOCS, SHARD_TOKENS = 1024, 512, 1 << 20
+LEVELS = 6
 _K1, _B = 1.2, 0.75
 
 
@@ -41,33 +47,96 @@ def id_kind(tokenizer: str) -> str:
 
 
 def tokens_table(docs: DataFrame, tokenizer: str, separator: int | None = 0) -> DataFrame:
-    """doc_id, near and near_2 (locality keys), ids (little-endian unsigned 16-bit, 32-bit if the vocabulary needs it)."""
+    """doc_id, ids (little-endian unsigned 16-bit, 32-bit if the vocabulary needs it), counts.
+
+    The last row of each task has no ids but counts: pairs of an id and the
+    documents of the task that it stands in, after (-2, documents) and
+    (-1, tokens); ``statistics`` sums them.
+    """
     shared, kind = docs.sparkSession.sparkContext.broadcast(tokenizer), id_kind(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         coder = bpe.of_worker(shared.value, by_ranks=True)
-        size = len(coder.pieces)
-        draw = np.random.default_rng(11).exponential(size=size) / np.log2(np.arange(size) + 3)
+        df = np.zeros(max(len(coder.pieces), (separator or 0) + 1, 1 << 16), np.int64)
+        n = total = 0
+        names = ["doc_id", "ids", "counts"]
         for part in (p for b in batches for p in slices(b)):
-            near, second, ids = [], [], []
+            ids = []
             for code in coder.encode(texts(part)):
                 own = np.frombuffer(code, "<u4")
-                drawn = draw[own]
-                least = drawn.min(initial=np.inf)
-                near.append(float(least))
-                second.append(float(drawn.min(initial=np.inf, where=drawn > least)))
-                ids.append((own if separator is None else np.append(own, np.uint32(separator))).astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(near, pa.float64()), pa.array(second, pa.float64()), pa.array(ids, pa.binary())], names=["doc_id", "near", "near_2", "ids"])
+                own = (own if separator is None else np.append(own, np.uint32(separator))).astype(kind)
+                n, total = n + 1, total + len(own)
+                df[np.unique(own)] += 1
+                ids.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        if n:
+            found = np.flatnonzero(df)
+            counts = np.array([[-2, -1, *found], [n, total, *df[found]]], "<i8").T.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids binary, counts binary")
+
+
+@dataclass
+class Statistics:
+    """Of all documents: how many there are, their mean length, and in how many each id stands."""
+
+    n: int
+    mean: float
+    df: object
+
+    def idf(self):
+        import numpy as np
+
+        return np.log((self.n - self.df + 0.5) / (self.df + 0.5))
+
+
+def statistics(tokens: DataFrame) -> Statistics:
+    """Summed by Spark; what reaches the driver is bounded by the vocabulary."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("counts"):
+                pairs = np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "n"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, near double, near_2 double, ids binary")
+    counts = tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long")
+    found = {r["id"]: r["n"] for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    n, total = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Statistics(n, total / max(n, 1), df)
+
+
+class Keys:
+    """The first ``LEVELS`` distinct ids of a document in an order of all ids drawn by squared idf: a weighted min-hash.
+
+    Rare ids lead, and each further one cuts what shares those before it.
+    """
+
+    def __init__(self, stats: Statistics):
+        import numpy as np
+
+        idf = stats.idf()
+        weight = np.where((stats.df > 1) & (idf > 0), np.maximum(idf, 1e-3) ** 2, 1e-9)  # others can tell nothing apart
+        order = np.argsort(np.random.default_rng(11).exponential(size=len(weight)) / weight)
+        self._places = np.empty(len(order), "<u4")
+        self._places[order] = np.arange(len(order))
+
+    def of(self, ids) -> bytes:
+        import numpy as np
+
+        placed = np.unique(self._places[ids])[:LEVELS]
+        return placed.astype(">u4").tobytes()
 
 
 class Shard:
     """BM25 over the documents of a shard; documents leave when they are used."""
 
-    def __init__(self, ids: list):
+    def __init__(self, ids: list, stats: Statistics | None = None):
         import numpy as np
 
         self.n = len(ids)
@@ -78,8 +147,9 @@ class Shard:
         doc = np.repeat(np.arange(self.n), sizes)
         df = np.bincount(self._terms)
         length = np.array([len(x) for x in ids], float)
-        idf = np.log((self.n - df + 0.5) / (df + 0.5))
-        weight = idf[self._terms] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * length[doc] / max(length.mean(), 1)))
+        idf = (stats or Statistics(self.n, length.mean(), df)).idf()
+        mean = max(stats.mean if stats else length.mean(), 1)
+        weight = idf[self._terms] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * length[doc] / mean))
         order = np.argsort(self._terms, kind="stable")
         self._docs, self._weights = doc[order], weight[order]
         self._starts, self._df = np.r_[0, np.cumsum(df)][:-1], df
@@ -131,6 +201,16 @@ def pack(tokens: DataFrame, window: int = WINDOW, with_ids: bool = False, kind:
     parts = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
+    stats = statistics(tokens)
+    shared = tokens.sparkSession.sparkContext.broadcast((stats, Keys(stats)))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        keys = shared.value[1]
+        for b in batches:
+            found = [keys.of(np.frombuffer(x.as_buffer(), kind)) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column("doc_id"), b.column("ids")], names=["key", "doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -140,15 +220,16 @@ def pack(tokens: DataFrame, window: int = WINDOW, with_ids: bool = False, kind:
         for ids, doc_ids in _shards(batches, kind):
             lengths = [len(x) for x in ids]
             rows: list[tuple] = []
-            for doc, start, length, offset, full in _fill(Shard(ids), lengths, room, window):
+            for doc, start, length, offset, full in _fill(Shard(ids, shared.value[0]), lengths, room, window):
                 piece = ids[doc][start : start + length]
                 rows.append((doc_ids[doc], start, length, zlib.crc32(piece.astype("<u4").tobytes()), lengths[doc], sequence, offset, *([piece.astype(np.int32)] if with_ids else ())))
                 sequence, room = sequence + full, window if full else window - offset - length
             kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    order = ["near", "near_2", "doc_id"]
-    dealt = tokens.select(*order, "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    order = ["key", "doc_id"]
+    made = tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(keyed, "key binary, doc_id long, ids binary")
+    dealt = made.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "ids").mapInArrow(run, schema)
 
 

@@ -220,3 +220,30 @@ def test_matrices(spark):
     digests = {r.sequence_id: r.ids_crc32 for r in binary_output.matrices(frame(spark, rows), json_tokenizer(), digests=True).collect()}
     assert digests == {r.sequence_id: zlib.crc32(r.ids) for r in found}
     assert binary_output.matrices(empty(spark), json_tokenizer()).collect() == []
+
+
+def rare_families(n, seed=3):
+    """Documents of frequent words in families of eight that share a few rare ones; ids deal the families apart."""
+    rnd = random.Random(seed)
+    names = [a + b + c for a in ("zor", "quib", "plaf", "drum", "wesk") for b in ("ax", "ill", "ond", "urp", "ech", "ism") for c in ("ona", "iff", "yst", "ube", "arl", "oct", "eng")]
+    families = [rnd.sample(names, 6) for _ in range(n // 8)]
+    rows = []
+    for k in range(n):
+        words = [rnd.choice(("the", "of", "and", "to", "in", "was", "for")) for _ in range(40)] + rnd.sample(families[k % len(families)], 5)
+        rnd.shuffle(words)
+        rows.append((k, " ".join(words), "en"))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "least"), [(1600, 0.5), (4800, 0.5)])
+def test_best_neighbours_of_all_documents_meet_in_a_shard(spark, monkeypatch, n, least):
+    """The share of documents whose best BM25 neighbour over the whole table is dealt next to them."""
+    rows = rare_families(n)
+    monkeypatch.setattr(retrieval_packing, "SHARD_DOCS", 64)
+    every = retrieval_packing.Shard(ids_of(rows))
+    place = {r.doc_id: (r.sequence_id >> 40, i) for i, r in enumerate(retrieval_packing.packed(frame(spark, rows), json_tokenizer()).collect())}
+    at = {d: i // 64 for i, d in enumerate(sorted(place, key=place.get))}
+    best = [next(x for x in every.neighbours(k).tolist() if x != k) for k in range(0, n, 7)]
+    found = np.mean([abs(at[k] - at[b]) <= 1 for k, b in zip(range(0, n, 7), best, strict=True)])
+    print(n, found)
+    assert found >= least
