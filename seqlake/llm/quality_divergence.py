@@ -4,8 +4,11 @@ Histograms of character classes and of common words of a document are
 compared to the references of every language by Jensen-Shannon distance; the
 nearest language counts, so that a wrong or missing language label does not
 condemn a document.  Documents too short for a stable histogram pass (the
-minimum-length guards), and the allowed distance of the word histogram
-widens with the sampling error of short documents.
+minimum-length guards).  The allowed distance of the word histogram at
+a length is ``max_word_distance`` together with the sampling error there (the
+root of the sum of their squares), the ``word_quantile`` of the distances of
+as many words drawn from the reference itself, but always less than the
+distance of a text without any common word.
 
 References hold the counts of all documents with a known language: Spark sums
 per-task counts, and common words are those with at least ``common`` of a
@@ -45,7 +48,7 @@ class Rules:
     min_words_for_words: int = 40
     max_class_distance: float = 0.25
     max_word_distance: float = 0.20
-    short_slack: float = 2.0
+    word_quantile: float = 0.8
 
 
 @dataclass
@@ -53,6 +56,29 @@ class References:
     langs: list[str] = field(default_factory=list)
     classes: list[list[float]] = field(default_factory=list)
     words: list[dict[str, float]] = field(default_factory=list)
+    limits: list[list[float]] = field(default_factory=list)  # the allowed word distance at each of sizes(rules)
+
+
+def sizes(rules: Rules) -> list[int]:
+    """Word counts at which the sampling error of a reference is drawn; in between it is interpolated."""
+    return [round(max(rules.min_words_for_words, 1) * 2 ** (k / 2)) for k in range(15)]
+
+
+def _histogram(found: dict[str, float]):
+    """The shares of the common words in sorted order, then that of all others."""
+    import numpy as np
+
+    return np.array([*(found[w] for w in sorted(found)), max(0.0, 1 - sum(found.values()))])
+
+
+def limits(found: dict[str, float], rules: Rules, draws: int = 4000) -> list[float]:
+    """The allowed word distance to a reference at each of sizes(rules)."""
+    import numpy as np
+
+    p, rng = _histogram(found), np.random.default_rng(7)
+    none = distances(np.eye(len(p))[-1:], p[None, :])[0]  # of a text without a common word
+    drawn = [np.quantile(distances(rng.multinomial(n, p / p.sum(), draws) / n, p[None, :]), rules.word_quantile) for n in sizes(rules)]
+    return [float(min((d * d + rules.max_word_distance**2) ** 0.5, none * (1 - 1e-6))) for d in drawn]
 
 
 def _class_table():
@@ -204,6 +230,7 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
             out.words[i][r["word"]] = r["n"] / r["all_words"]
     for i, c in enumerate(out.classes):
         out.classes[i] = [x / (sum(c) or 1) for x in c]
+    out.limits = [limits(found, rules) for found in out.words]
     return out
 
 
@@ -229,7 +256,8 @@ class Judge:
         for found in references.words:
             order = sorted(found)
             self._index.append({w: k for k, w in enumerate(order)})
-            self._words.append(np.array([*(found[w] for w in order), max(0.0, 1 - sum(found.values()))]))
+            self._words.append(_histogram(found))
+        self._limits = references.limits or [limits(found, rules) for found in references.words]
         self._forget()
 
     def _forget(self) -> None:
@@ -264,16 +292,19 @@ class Judge:
             by_class[chars < r.min_chars_for_classes] = np.nan
         common = self._known()[:, m.slots]
         words = np.bincount(m.owner[common[-1] > 0], minlength=n)
+        strange = np.zeros(n, bool)
         if self._words:
-            each = []
-            for own, reference in zip(common[:-1], self._words, strict=True):
+            each, over = [], []
+            at = np.log(np.maximum(words, 1))
+            for own, reference, limit in zip(common[:-1], self._words, self._limits, strict=True):
                 width, hit = len(reference), own >= 0
                 hist = np.bincount(m.owner[hit] * width + own[hit], minlength=n * width).reshape(n, width)
                 hist[:, -1] = words - hist[:, :-1].sum(axis=1)
                 each.append(distances(hist / np.maximum(words, 1)[:, None], reference[None, :]))
-            by_word = np.min(each, axis=0)
+                over.append(each[-1] > np.interp(at, np.log(sizes(r)), limit))
+            by_word, strange = np.min(each, axis=0), np.all(over, axis=0) & (words >= r.min_words_for_words)
             by_word[words < r.min_words_for_words] = np.nan
-        near = ~(by_class > r.max_class_distance) & ~(by_word > r.max_word_distance + r.short_slack / np.sqrt(np.maximum(words, 1)))
+        near = ~(by_class > r.max_class_distance) & ~strange
         return m, failed, by_class, by_word, ~failed & near
 
 

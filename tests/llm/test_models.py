@@ -76,6 +76,19 @@ def test_quality(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in quality_divergence.keep(docs, references).select("doc_id").collect()) == sorted((i is None, i) for i, _, _ in ROWS if found[i].kept)
 
 
+def test_short_texts_without_common_words_are_rejected(spark):
+    rnd = random.Random(4)
+    rare = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(5))
+    mixed = lambda lang, n, share: " ".join(rnd.choice(LANGS[lang]) if rnd.random() < share else rare() for _ in range(n))
+    references = quality_divergence.learn_references(frame(spark, [(k, mixed(lang, 300, 0.33), lang) for k, lang in enumerate(["en", "fr", "de"] * 40)]))
+    rows = []
+    for k, n in enumerate([40, 45, 50, 60, 69, 80, 100] * 30):
+        rows += [(2 * k, mixed("en", n, 0.33), "en"), (2 * k + 1, mixed("en", n, 0), "en")]
+    kept = {r.doc_id: r.kept for r in quality_divergence.judge(frame(spark, rows), references).collect()}
+    assert not any(kept[i] for i in kept if i % 2)
+    assert np.mean([kept[i] for i in kept if i % 2 == 0]) > 0.9
+
+
 def test_quality_without_references(spark):
     none = quality_divergence.learn_references(empty(spark))
     found = quality_divergence.judge(frame(spark, ROWS[:20]), none).collect()
