@@ -32,8 +32,10 @@ def dataset_stats(sequences: DataFrame, config: SeedConfig, dataset: str = "data
 
 
 def origin_masks(found: DataFrame, dataset: str = "dataset_id") -> DataFrame:
-    """key, mask: the datasets of each key as bits; for dataset numbers 0 to 62."""
-    return found.groupBy("key").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(dataset).cast("int"))).alias("mask"))
+    """key, mask: the datasets of each key as bits; fails for dataset numbers other than 0 to 62."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(dataset).cast("int"))
+    beyond = F.raise_error(F.concat(F.lit("a mask holds datasets 0 to 62, not "), F.col(dataset).cast("string"))).cast("long")
+    return found.groupBy("key").agg(F.bit_or(F.when(~F.col(dataset).between(0, 62), beyond).otherwise(bit)).alias("mask"))
 
 
 def recovery(found: DataFrame, config: SeedConfig, dataset: str = "dataset_id") -> DataFrame:

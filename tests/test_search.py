@@ -224,3 +224,11 @@ def test_empty_tables_and_nulls(spark):
     nulls = spark.createDataFrame([(0, None), (1, SHARED.decode())], "query_id int, seq string")
     found, totals = search.matches(docs(spark), nulls, SeedConfig(k=31))
     assert {r.query_id: r.queried_seeds for r in totals.collect()} == {0: 0, 1: 180}
+
+
+def test_masks_refuse_datasets_without_a_bit_of_their_own(spark):
+    made = spark.createDataFrame([(1, 0), (1, 62), (2, 3)], "key long, dataset_id int")
+    assert {r.key: r.mask for r in postings.origin_masks(made).collect()} == {1: 1 | 1 << 62, 2: 8}
+    for beyond in (63, 64, -1):
+        with pytest.raises(Exception, match="0 to 62"):
+            postings.origin_masks(spark.createDataFrame([(1, beyond)], "key long, dataset_id int")).collect()
