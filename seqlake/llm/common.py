@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine (tests)."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -75,6 +81,13 @@ def release_shared(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def partitions_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """Partitions for a shuffle of df: as many as the session asks for, more where Catalyst's estimate of its bytes calls for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # Catalyst gives an absurd size where it has no estimate
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each) if known else 1)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about limit bytes of text each, one row at least."""
     import numpy as np
@@ -114,3 +127,35 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
 def workers_quiet() -> None:
     """Keeps native libraries in a Python worker to its one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+_of_worker: dict[Hashable, Any] = {}
+
+
+def of_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps between the tasks of one operator; what another operator kept is freed first."""
+    if key not in _of_worker:
+        _of_worker.clear()
+        give_back()
+        _of_worker[key] = make()
+    return _of_worker[key]
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving memory back at the end of each task: the worker goes on to other tasks beside the executor's JVM."""
+
+    def frugally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return frugally

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, write_shared
+from .common import frugal, slices, write_shared
 
 LEAST_BLOCK, MOST_PIECES, WINDOW, SHARED = 3, 64, 7, 4
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -163,12 +163,12 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     bodies = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     dealt = bodies.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    made = write_shared(dealt.mapInArrow(_consecutive, f"part int, kind int, text string, {_RESULT}"), "fingerprints")
+    made = write_shared(dealt.mapInArrow(frugal(_consecutive), f"part int, kind int, text string, {_RESULT}"), "fingerprints")
 
     # the next partition that has rows: as many numbers as there are partitions
     full = sorted(r["part"] for r in made.where(F.col("kind") == HEAD).select("part").collect())
     pairs = spark.createDataFrame(list(zip(full, [*full[1:], *full[:1]], strict=True)), "part int, next_part int")
     heads = made.where(F.col("kind") == HEAD).select(F.col("part").alias("next_part"), F.col("text").alias("following"))
     tails = made.where(F.col("kind") == TAIL).select("part", "doc_id", "text").join(pairs, "part").join(heads, "next_part")
-    ends = tails.select("doc_id", "text", "following").mapInArrow(_ends, _RESULT)
+    ends = tails.select("doc_id", "text", "following").mapInArrow(frugal(_ends), _RESULT)
     return made.where(F.col("kind") == DONE).select(*_NAMES).union(ends)

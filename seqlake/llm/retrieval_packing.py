@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import slices, texts, write_shared
+from .common import frugal, of_worker, slices, texts, write_shared
 
 WINDOW, SHARD_DOCS, SHARD_TOKENS = 1024, 512, 1 << 20
 LEVELS = 6
@@ -76,7 +76,7 @@ def tokens_table(docs: DataFrame, tokenizer: str, separator: int | None = 0) ->
             counts = np.array([[-2, -1, *found], [n, total, *df[found]]], "<i8").T.tobytes()
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), "doc_id long, ids binary, counts binary")
 
 
 @dataclass
@@ -103,7 +103,7 @@ def statistics(tokens: DataFrame) -> Statistics:
                 pairs = np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "n"])
 
-    counts = tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long")
+    counts = tokens.select("counts").where("counts is not null").mapInArrow(frugal(run), "id long, n long")
     found = {r["id"]: r["n"] for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect()}
     n, total = found.pop(-2, 0), found.pop(-1, 0)
     df = np.zeros(max(found, default=0) + 1, np.int64)
@@ -216,6 +216,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, with_ids: bool = False, kind:
         import numpy as np
         from pyspark import TaskContext
 
+        of_worker("packing", lambda: None)
         sequence, room = TaskContext.get().partitionId() << 40, window
         for ids, doc_ids in _shards(batches, kind):
             lengths = [len(x) for x in ids]
@@ -228,9 +229,9 @@ def pack(tokens: DataFrame, window: int = WINDOW, with_ids: bool = False, kind:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     order = ["key", "doc_id"]
-    made = tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(keyed, "key binary, doc_id long, ids binary")
+    made = tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(frugal(keyed), "key binary, doc_id long, ids binary")
     dealt = made.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return dealt.select("doc_id", "ids").mapInArrow(run, schema)
+    return dealt.select("doc_id", "ids").mapInArrow(frugal(run), schema)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, list]]:

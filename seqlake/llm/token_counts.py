@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import frugal, of_worker, slices, texts
 
 _BLANK = "▁"
 
@@ -112,9 +112,6 @@ class Counter:
             return total
 
 
-_made: dict[int, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens) for each row."""
     model = PieceModel(model_path)
@@ -123,10 +120,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     key = hash(model.proto)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _made:
-            _made.clear()
-            _made[key] = Counter(*shared.value)
-        counter = _made[key]
+        counter = of_worker(("piece counts", key), lambda: Counter(*shared.value))
         for part in (p for b in batches for p in slices(b)):
             body = texts(part)
             n = [counter.count(t) for t in body]
@@ -135,4 +129,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
