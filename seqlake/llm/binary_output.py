@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import slices, texts
+from .common import frugal, slices, texts
 
 WINDOW, BLOCK_DOCS, BLOCK_TOKENS = 1024, 4096, 4 << 20
 
@@ -121,7 +121,7 @@ def matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: i
                 sequence += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), schema)
 
 
 def write_matrices(docs: DataFrame, tokenizer: str, path: str, **options) -> None:

@@ -22,7 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts, workers_quiet
+from . import common
+from .common import frugal, slices, texts, workers_quiet
 from .units import UnitCache
 
 
@@ -162,16 +163,9 @@ class ByteBPE:
         return (char[begins], char[ends - 1] + 1) if len(ends) else (begins, ends)
 
 
-_made: dict[int, ByteBPE] = {}
-
-
 def of_worker(tokenizer: str, by_ranks: bool = False) -> ByteBPE:
     """The encoder of this Python worker, kept between tasks."""
-    key = hash((tokenizer, by_ranks))
-    if key not in _made:
-        _made.clear()
-        _made[key] = ByteBPE(tokenizer, by_ranks)
-    return _made[key]
+    return common.of_worker(("bpe", hash(tokenizer), by_ranks), lambda: ByteBPE(tokenizer, by_ranks))
 
 
 def encode(docs: DataFrame, tokenizer: str, with_offsets: bool = False) -> DataFrame:
@@ -192,7 +186,7 @@ def encode(docs: DataFrame, tokenizer: str, with_offsets: bool = False) -> DataF
                 columns += [pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts", "ends"][: len(columns)])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -207,7 +201,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             data = [bpe.decode(np.asarray(x or (), "<u4").tobytes()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary()), pa.array([_utf8(x) for x in data], pa.string())], names=["doc_id", "data", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, data binary, text string")
 
 
 def _utf8(data: bytes) -> str | None:
@@ -218,21 +212,30 @@ def _utf8(data: bytes) -> str | None:
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of their decoding, without moving either."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256: digests of the ids, of their decoding and of their character offsets, without moving any.
+
+    The last is that of the start and end characters of each id in turn, as
+    little-endian unsigned 32-bit integers.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         bpe = of_worker(shared.value)
         for part in (p for b in batches for p in slices(b)):
-            coded = bpe.encode(texts(part))
+            body = texts(part)
+            coded = bpe.encode(body)
+            spans = (np.stack(bpe.offsets(t, c), axis=1).astype("<u4").tobytes() for t, c in zip(body, coded, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([len(c) // 4 for c in coded], pa.int64()),
                     pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
                     pa.array([hashlib.sha256(bpe.decode(c)).hexdigest() for c in coded], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in spans], pa.string()),
                 ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")

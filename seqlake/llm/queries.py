@@ -38,7 +38,7 @@ def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary_output.matrices(documents(spark, sf_dir), json_tokenizer(), digests=True)
+    return binary_output.matrices(documents(spark, sf_dir), json_tokenizer())
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

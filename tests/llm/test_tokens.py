@@ -83,7 +83,14 @@ def test_round_trip(spark, tokenizer, library):
     want = Counter()
     for i, t, _ in ROWS:
         ids = library.encode_ordinary(t or "")
-        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+        char = [k for k, c in enumerate(t or "") for _ in c.encode()]  # of each byte
+        spans, at = [], 0
+        for x in ids:
+            size = len(library.decode_single_token_bytes(x))
+            spans += [char[at], char[at + size - 1] + 1]
+            at += size
+        digests = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), (t or "").encode(), np.array(spans, "<u4").tobytes())]
+        want[i, len(ids), *digests] += 1
     assert found == want
     assert bpe.round_trip(empty(spark), tokenizer).collect() == []
 
@@ -222,6 +229,15 @@ def test_matrices(spark):
     assert binary_output.matrices(empty(spark), json_tokenizer()).collect() == []
 
 
+def test_write_matrices(spark, tmp_path):
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(ROWS)]
+    path = str(tmp_path / "packed")
+    binary_output.write_matrices(frame(spark, rows), json_tokenizer(), path, window=256)
+    written = spark.read.parquet(path).collect()
+    assert {len(r.ids) for r in written} == {1024} == {len(r.positions) for r in written}
+    assert sum(r.n_tokens for r in written) == sum(map(len, ids_of(rows)))
+
+
 def rare_families(n, seed=3):
     """Documents of frequent words in families of eight that share a few rare ones; ids deal the families apart."""
     rnd = random.Random(seed)
