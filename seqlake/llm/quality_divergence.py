@@ -10,28 +10,31 @@ root of the sum of their squares), the ``word_quantile`` of the distances of
 as many words drawn from the reference itself, but always less than the
 distance of a text without any common word.
 
-References hold the counts of all documents with a known language: Spark sums
-per-task counts, and common words are those with at least ``common`` of a
-language's words, so at most 1/common of each language.
+References hold the counts of all documents with a known language, however
+few: Spark sums per-task counts, and common words are those with at least
+``common`` of a language's words, so at most 1/common of each language.  More
+than ``max_langs`` languages are refused, since references are broadcast.
 
 Defined results: null text has no words and fails the base rules; rows with
 a null language take part in no reference but get a verdict; ties and
-repeated rows are judged alike; an empty table gives an empty result; other
-columns are not looked at.
+repeated rows are judged alike; a very long text is measured whole, in one
+piece; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import frugal, of_worker, slices, texts, write_shared
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "other_letter", "digit", "space", "punctuation", "symbol", "other")
@@ -43,7 +46,7 @@ class Rules:
     repeat_percent: int = 20
     window: int = 5
     common: float = 0.002
-    min_reference_words: int = 1_000
+    max_langs: int = 1_000
     min_chars_for_classes: int = 80
     min_words_for_words: int = 40
     max_class_distance: float = 0.25
@@ -81,19 +84,18 @@ def limits(found: dict[str, float], rules: Rules, draws: int = 4000) -> list[flo
     return [float(min((d * d + rules.max_word_distance**2) ** 0.5, none * (1 - 1e-6))) for d in drawn]
 
 
-def _class_table():
+@functools.cache
+def class_table():
+    """The class of every code point; made once on the driver."""
     import numpy as np
 
-    table = np.full(0x10000, 7, np.uint8)
-    for c in range(0x10000):
+    table = np.full(0x110000, 7, np.uint8)
+    for c in range(len(table)):
         kind = unicodedata.category(chr(c))
         table[c] = 4 if chr(c).isspace() else 0 if kind == "Ll" else 1 if kind in ("Lu", "Lt") else 2 if kind[0] in "LM" else 3 if kind[0] == "N" else 6 if kind[0] == "S" or chr(c) in SYMBOLS.decode() else 5 if kind[0] == "P" else 7
     return table
 
 
-_tables: list = []
-
-
 def _plain(token: bytes) -> str:
     """A word in lower case without what surrounds its letters."""
     return token.decode(errors="ignore").lower().strip(".,;:!?\"'()[]{}#*$%&|<>-_/\\")
@@ -126,11 +128,10 @@ class Measures:
     owner: object
 
 
-def measure(bodies: list[str], slots: _Slots, window: int = 5) -> Measures:
+def measure(bodies: list[str], slots: _Slots, table, window: int = 5) -> Measures:
+    """``table``: class_table()."""
     import numpy as np
 
-    if not _tables:
-        _tables.append(_class_table())
     n = len(bodies)
     data = [t.encode() for t in bodies]
     found = [d.split() for d in data]  # of bytes: ASCII white space only
@@ -140,7 +141,7 @@ def measure(bodies: list[str], slots: _Slots, window: int = 5) -> Measures:
     codes = np.frombuffer("".join(bodies).encode("utf-32-le"), "<u4")
     chars = np.array([len(t) for t in bodies], np.int64)
     of_char = np.repeat(np.arange(n), chars)
-    classes = np.bincount(of_char * len(CLASSES) + _tables[0][np.minimum(codes, 0xFFFF)], minlength=n * len(CLASSES)).reshape(n, len(CLASSES))
+    classes = np.bincount(of_char * len(CLASSES) + table[codes], minlength=n * len(CLASSES)).reshape(n, len(CLASSES))
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     n_symbols = np.array([len(d) - len(d.translate(None, SYMBOLS)) for d in data], np.int64)
     lines = [[x for x in d.split(b"\n") if x.strip()] for d in data]
@@ -174,51 +175,61 @@ def _repeated(words, owner, n: int, window: int):
 
 def base_metrics(text: str, window: int = 5) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    m = measure([text], _Slots(), window)
+    m = measure([text], _Slots(), class_table(), window)
     return tuple(int(x[0]) for x in (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
+def _count(table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts by language: of each word (class -2), all words (-1) and each character class. ``table``: class_table(), broadcast."""
 
-    slots = _Slots()
-    by_slot: dict[str, object] = {}
-    by_class: dict[str, object] = {}
-
-    def flush() -> pa.RecordBatch:
-        rows: list[tuple] = []
-        for lang, counts in by_slot.items():
-            words: Counter = Counter()
-            for slot in np.flatnonzero(counts).tolist():
-                words[slots.plain[slot]] += int(counts[slot])
-            words.pop("", None)
-            rows += [(lang, None, -1, sum(words.values())), *((lang, w, -2, k) for w, k in words.items() if len(w) <= 32)]
-            rows += [(lang, None, c, k) for c, k in enumerate(by_class[lang].tolist()) if k]
-        by_slot.clear(), by_class.clear(), slots.clear(), slots.plain.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "word", "class", "n"])
-
-    for part in (p for b in batches for p in slices(b, limit=1 << 20)):
-        m = measure(texts(part), slots)
-        langs = np.array(part.column("lang").to_pylist(), object)
-        for lang in set(langs.tolist()):
-            own = langs == lang
-            counts = np.bincount(m.slots[own[m.owner]], minlength=len(slots.plain))
-            if (old := by_slot.get(lang)) is not None:
-                counts[: len(old)] += old
-            by_slot[lang] = counts
-            by_class[lang] = by_class.get(lang, 0) + m.classes[own].sum(axis=0)
-        if len(slots) > 200_000:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        of_worker("quality counts", lambda: None)
+        slots = _Slots()
+        by_slot: dict[str, object] = {}
+        by_class: dict[str, object] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows: list[tuple] = []
+            for lang, counts in by_slot.items():
+                words: Counter = Counter()
+                for slot in np.flatnonzero(counts).tolist():
+                    words[slots.plain[slot]] += int(counts[slot])
+                words.pop("", None)
+                rows += [(lang, None, -1, sum(words.values())), *((lang, w, -2, k) for w, k in words.items())]
+                rows += [(lang, None, c, k) for c, k in enumerate(by_class[lang].tolist()) if k]
+            by_slot.clear(), by_class.clear(), slots.clear(), slots.plain.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "word", "class", "n"])
+
+        for part in (p for b in batches for p in slices(b, limit=1 << 20)):
+            m = measure(texts(part), slots, table.value)
+            langs = np.array(part.column("lang").to_pylist(), object)
+            for lang in set(langs.tolist()):
+                own = langs == lang
+                counts = np.bincount(m.slots[own[m.owner]], minlength=len(slots.plain))
+                if (old := by_slot.get(lang)) is not None:
+                    counts[: len(old)] += old
+                by_slot[lang] = counts
+                by_class[lang] = by_class.get(lang, 0) + m.classes[own].sum(axis=0)
+            if len(slots) > 100_000:
+                yield flush()
+        if by_slot:
             yield flush()
-    if by_slot:
-        yield flush()
+
+    return frugal(run)
 
 
 def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
     """From all rows whose text and lang are not null."""
+    table = docs.sparkSession.sparkContext.broadcast(class_table())
     usable = docs.where("text is not null and lang is not null").selectExpr("cast(text as string) text", "cast(lang as string) lang")
-    counts = usable.mapInArrow(_count, "lang string, word string, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
-    sizes = counts.where("class = -1").selectExpr("lang as of_lang", "n as all_words").where(F.col("all_words") >= rules.min_reference_words)
-    kept = counts.join(F.broadcast(sizes.where(F.col("all_words") > 0)), F.col("lang") == F.col("of_lang"))  # one row for each language
+    counts = usable.mapInArrow(_count(table), "lang string, word string, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
+    counts = write_shared(counts, "quality-counts")
+    sizes = counts.where("class = -1 and n > 0").selectExpr("lang as of_lang", "n as all_words")
+    if len(sizes.limit(rules.max_langs + 1).collect()) > rules.max_langs:
+        raise ValueError(f"more than {rules.max_langs} languages")
+    kept = counts.join(F.broadcast(sizes), F.col("lang") == F.col("of_lang"))  # a row for each language, so no more than max_langs
     rows = kept.where((F.col("class") > -2) | (F.col("n") >= F.col("all_words") * rules.common)).select("lang", "word", "class", "n", "all_words").collect()
     langs = sorted({r["lang"] for r in rows})
     out = References(langs, [[0.0] * len(CLASSES) for _ in langs], [{} for _ in langs])
@@ -247,10 +258,10 @@ def distances(p, q):
 class Judge:
     """Judges texts in one worker; remembers up to ``most`` tokens."""
 
-    def __init__(self, references: References, rules: Rules, most: int = 250_000):
+    def __init__(self, references: References, rules: Rules, table, most: int = 100_000):
         import numpy as np
 
-        self.rules, self._most = rules, most
+        self.rules, self._table, self._most = rules, table, most
         self._classes = [np.array(c) for c in references.classes]
         self._index, self._words = [], []
         for found in references.words:
@@ -282,7 +293,7 @@ class Judge:
         if len(self._slots) > self._most:
             self._forget()
         r, n = self.rules, len(bodies)
-        m = measure(bodies, self._slots, r.window)
+        m = measure(bodies, self._slots, self._table, r.window)
         failed = (m.n_words < r.min_words) | (100 * m.n_repeat_words > r.repeat_percent * m.n_words)
         chars = m.classes.sum(axis=1)
         by_class, by_word = np.full(n, np.nan), np.full(n, np.nan)
@@ -310,30 +321,30 @@ class Judge:
 
 def judge(docs: DataFrame, references: References, rules: Rules = Rules()) -> DataFrame:
     """doc_id, the base metrics, base_failed, both distances, kept."""
-    shared = docs.sparkSession.sparkContext.broadcast((references, rules))
+    shared, key = docs.sparkSession.sparkContext.broadcast((references, rules, class_table())), uuid.uuid4().hex
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        by = Judge(*shared.value)
+        by = of_worker(("quality", key), lambda: Judge(*shared.value))
         for part in (p for b in batches for p in slices(b, limit=1 << 20)):
             m, failed, by_class, by_word, kept = by.judge(texts(part))
             counts = [pa.array(np.asarray(x, np.int64)) for x in (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words)]
             far = [pa.array(x, pa.float64(), from_pandas=True) for x in (by_class, by_word)]  # nan becomes null
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(failed), *far, pa.array(kept)], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), schema)
 
 
 def keep(docs: DataFrame, references: References, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs, with all their columns, that ``judge`` keeps."""
-    shared = docs.sparkSession.sparkContext.broadcast((references, rules))
+    shared, key = docs.sparkSession.sparkContext.broadcast((references, rules, class_table())), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Judge(*shared.value)
+        by = of_worker(("quality", key), lambda: Judge(*shared.value))
         for part in (p for b in batches for p in slices(b, limit=1 << 20)):
             yield part.filter(pa.array(by.judge(texts(part))[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
