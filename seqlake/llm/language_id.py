@@ -5,14 +5,15 @@ word is scored by its longest character n-grams that training knows: n is
 shortened until at least one n-gram of that length is known.
 
 Training reads a bounded sample (``max_train_docs``, chosen by a hash of the
-id) of the labelled rows; counting is done by Spark, and only counts that
-reach ``min_count`` are kept, ``max_entries`` of each kind at most, so the
-model that is broadcast has a fixed size bound.
+id) of the labelled rows; counting is done by Spark, and every word and
+n-gram whose count in a language reaches ``min_count`` is kept, so what the
+sample's bound allows is all that the broadcast model can hold.
 
 Defined results: null text or text without a letter gives ``und`` and score
 0; without any training rows every row gives ``und``.  Repeated rows are
 each predicted; ties go to the language that sorts first; null languages are
-never learned; an empty table gives an empty result.
+never learned; a very long text is counted whole; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, texts, write_shared
+from .common import bounded_sample, frugal, of_worker, slices, texts
 
 UNKNOWN = "und"
 LONGEST = 4
@@ -98,23 +99,16 @@ class Model:
         return None
 
 
-def train(labelled: DataFrame, max_train_docs: int = 12_000, min_count: int = 3, max_entries: int = 60_000) -> Model:
+def train(labelled: DataFrame, max_train_docs: int = 12_000, min_count: int = 3) -> Model:
     """From text and lang of a bounded sample; rows with a null in either are left out."""
     usable = labelled.where("text is not null and lang is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     sample = bounded_sample(usable, "doc_id", max_train_docs)
-    counts = write_shared(sample.mapInArrow(_count, "size int, lang string, item string, n long").groupBy("size", "lang", "item").agg(F.sum("n").alias("n")), "language-counts")
-    rows: list[tuple[int, str, str, int]] = []
-    for least in (min_count, 1):  # 1: for a handful of training rows, where every count may be below min_count
-        for sizes in ((0,), (4,), (1, 2, 3)):
-            kept = counts.where(F.col("size").isin(*sizes) & (F.col("n") >= least))
-            rows += [tuple(r) for r in kept.orderBy(F.desc("n"), "size", "lang", "item").limit(max_entries).collect()]
-        if rows:
-            break
-    return Model(rows)
+    counts = sample.mapInArrow(frugal(_count), "size int, lang string, item string, n long").groupBy("size", "lang", "item").agg(F.sum("n").alias("n"))
+    return Model([tuple(r) for r in counts.where(F.col("n") >= min_count).collect()])
 
 
 class Predictor:
-    def __init__(self, model: Model, most: int = 600_000):
+    def __init__(self, model: Model, most: int = 400_000):
         self._model, self._most = model, most
         self._known: dict[str, list[float] | None] = {}
 
@@ -141,20 +135,14 @@ class Predictor:
         return langs[best], 1 / sum(math.exp(max(-700.0, scale * (t - total[best]))) for t in total)
 
 
-_made: dict[str, Predictor] = {}
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for each row, by its text alone."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _made:
-            _made.clear()
-            _made[key] = Predictor(shared.value)
-        predictor = _made[key]
+        predictor = of_worker(("language", key), lambda: Predictor(shared.value))
         for part in (p for b in batches for p in slices(b)):
             found = [predictor.predict(t) for t in texts(part)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
