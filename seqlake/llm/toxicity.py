@@ -6,15 +6,18 @@ factor vectors, so that pairs such as an insult and the mention of a group
 count beyond what both count alone.
 
 It is fitted on the driver to a bounded sample of labelled rows
-(``max_train_docs``, chosen by a hash of the id) with full-batch Adam, over
-the terms that the G statistic finds tied to the label, ``max_terms`` at
-most; the broadcast model has that bound.  Scoring reads whole texts.
+(``max_train_docs``, chosen by a hash of the id) with full-batch Adam.  A term
+takes part if the G statistic finds it tied to the label by itself
+(``least_g``), or, of terms in at least ``pair_share`` of the rows, together
+with another one (``least_pair_g``: what the two tell beyond what each tells
+alone), so that pure interactions are learned too.  Scoring reads whole texts.
 
 Defined results: null and empty texts get the score of no terms; without
 labelled rows, or with one label only, every score is the share of label 1
 (0 without rows); rows with equal ids are each scored; labels that are null
-or contradict each other for one id are resolved to the larger one; an empty
-table gives an empty result; other columns are not looked at.
+or contradict each other for one id are resolved to the larger one; a very long
+text is scored by all its terms; an empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, texts
+from .common import bounded_sample, frugal, of_worker, slices, texts
 
 #: So wide that a clean term hardly ever shares the hash of a telling one.
 BITS = 31
@@ -67,7 +70,59 @@ class Machine:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(found: list, labels: list[int], factors: int = 4, max_terms: int = 30_000, least_g: float = 15.0, steps: int = 300, penalty: float = 1e-6) -> Machine:
+def _g(n, with_1, rows: int, ones: float):
+    """The G statistic of a split of ``rows`` rows, ``ones`` of label 1, by groups: n rows and with_1 of label 1 in each, groups along the first axis."""
+    import numpy as np
+
+    share, total = ones / rows, 0.0
+    for seen, expected in ((with_1, n * share), (n - with_1, n * (1 - share))):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total = total + np.where(seen > 0.5, 2 * seen * np.log(seen / expected), 0).sum(axis=0)
+    return total
+
+
+def _in_pairs(row, col, y, width: int, alone, least: float, strip: int = 64):
+    """Which of ``width`` terms tell of the label together with another one: 4 groups of rows by the presence of two, less what both tell alone."""
+    import numpy as np
+
+    held = np.zeros((len(y), width), np.float32)
+    held[row, col] = 1
+    n, with_1, ones = held.sum(axis=0, dtype=float), y @ held, y.sum()
+    chosen = np.zeros(width, bool)
+    for start in range(0, width, strip):
+        own = held[:, start : start + strip]
+        both, both_1 = (own.T @ held).astype(float), ((own * y[:, None].astype(np.float32)).T @ held).astype(float)
+        a, a_1 = n[start : start + strip, None], with_1[start : start + strip, None]
+        cells = np.stack([both, a - both, n - both, len(y) - a - n + both])
+        cells_1 = np.stack([both_1, a_1 - both_1, with_1 - both_1, ones - a_1 - with_1 + both_1])
+        over = _g(cells, cells_1, len(y), ones) - alone[start : start + strip, None] - alone
+        hit = over >= least
+        hit[np.arange(len(hit)), np.arange(start, start + len(hit))] = False
+        chosen |= hit.any(axis=0)
+    return chosen
+
+
+def telling(found: list, y, least_g: float, pair_share: float, least_pair_g: float):
+    """The sorted terms that the machine is fitted over."""
+    import numpy as np
+
+    every, owner = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
+    ids, col, n = np.unique(every, return_inverse=True, return_counts=True)
+    with_1 = np.bincount(col, weights=y[owner], minlength=len(ids))
+    ones = y.sum()
+    g = _g(np.stack([n, len(y) - n]), np.stack([with_1, ones - with_1]), len(y), ones)
+    kept = g >= least_g
+    often = np.flatnonzero((n >= max(3, pair_share * len(y))) & (n <= len(y) - 3))
+    place = np.full(len(ids), -1)
+    place[often] = np.arange(len(often))
+    inside = place[col] >= 0
+    kept[often[_in_pairs(owner[inside], place[col[inside]], y, len(often), g[often], least_pair_g)]] = True
+    return ids[kept]
+
+
+def fit(
+    found: list, labels: list[int], factors: int = 4, least_g: float = 15.0, pair_share: float = 0.02, least_pair_g: float = 60.0, steps: int = 300, penalty: float = 1e-6
+) -> Machine:
     """From an array of distinct terms for each row and its label, 0 or 1."""
     import numpy as np
 
@@ -76,18 +131,7 @@ def fit(found: list, labels: list[int], factors: int = 4, max_terms: int = 30_00
     none = Machine(math.log(share / (1 - share)) if 0 < share < 1 else 60.0 if share else -60.0, {}, [], [])
     if not 0 < share < 1:
         return none
-    ids, n = np.unique(np.concatenate(found), return_counts=True)
-    ids_1, n_1 = np.unique(np.concatenate([f for f, label in zip(found, labels, strict=True) if label]), return_counts=True)
-    with_1 = np.zeros(len(ids))
-    with_1[np.searchsorted(ids, ids_1)] = n_1
-    often = n >= 3
-    ids, n, with_1 = ids[often], n[often].astype(float), with_1[often]
-    g = np.zeros(len(ids))
-    for seen, expected in ((with_1, n * share), (n - with_1, n * (1 - share)), (y.sum() - with_1, (len(y) - n) * share), (len(y) - y.sum() - (n - with_1), (len(y) - n) * (1 - share))):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g += np.where(seen > 0, 2 * seen * np.log(seen / expected), 0)
-    kept = np.argsort(-g, kind="stable")[:max_terms]
-    kept = np.sort(ids[kept[g[kept] >= least_g]])
+    kept = telling(found, y, least_g, pair_share, least_pair_g)
     if not len(kept):
         return none
     rows, cols = [], []
@@ -136,12 +180,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_do
     marked = bounded_sample(marked.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", max_train_docs)
     bodies = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     # the sample's bound makes this side small whatever the input
-    rows = bodies.join(F.broadcast(marked), "doc_id").select("text", "label").mapInArrow(_terms, "label int, terms binary").collect()
+    rows = bodies.join(F.broadcast(marked), "doc_id").select("text", "label").mapInArrow(frugal(_terms), "label int, terms binary").collect()
     return fit([np.frombuffer(r["terms"], np.uint32) for r in rows], [r["label"] for r in rows])
 
 
 class Scorer:
-    def __init__(self, machine: Machine, most: int = 250_000):
+    """Scores texts in one worker; remembers up to ``most`` words."""
+
+    def __init__(self, machine: Machine, most: int = 100_000):
         self._machine, self._most = machine, most
         self._known: dict[str, tuple[int, ...]] = {}
 
@@ -161,9 +207,6 @@ class Scorer:
         return self._machine.score(sorted(rows))
 
 
-_made: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted (1 from ``threshold`` on) for each row, by its text alone."""
     scores = _scores(docs, machine)
@@ -173,17 +216,15 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
             found = scores(part)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), "doc_id long, score double, predicted int")
 
 
 def _scores(docs: DataFrame, machine: Machine) -> Callable[[pa.RecordBatch], list[float]]:
     shared, key = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
 
     def of(batch: pa.RecordBatch) -> list[float]:
-        if key not in _made:
-            _made.clear()
-            _made[key] = Scorer(shared.value)
-        return [_made[key].score(t) for t in texts(batch)]
+        scorer = of_worker(("toxicity", key), lambda: Scorer(shared.value))
+        return [scorer.score(t) for t in texts(batch)]
 
     return of
 
@@ -196,4 +237,4 @@ def drop(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame
         for part in (p for b in batches for p in slices(b)):
             yield part.filter(pa.array([x < threshold for x in scores(part)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

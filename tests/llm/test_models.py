@@ -43,6 +43,13 @@ def test_language_backs_off_to_shorter_grams():
     assert model.word_scores("ky") == model.items[1]["y"] and model.word_scores("w") is None
 
 
+def test_language_keeps_every_count_that_reaches_the_least(spark):
+    rows = [(k, " ".join(f"w{chr(97 + k % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60)), "en") for k in range(3 * 26)]
+    model = language_id.train(frame(spark, rows))
+    assert len(model.items[0]) == 26 * 60 and model.items[4]
+    assert set(language_id.train(frame(spark, rows[:20])).items[0]) == set()
+
+
 def test_language_without_training(spark):
     none = language_id.train(empty(spark))
     assert {r.lang_pred for r in language_id.predict(frame(spark, ROWS[:5]), none).collect()} == {"und"}
@@ -89,6 +96,56 @@ def test_short_texts_without_common_words_are_rejected(spark):
     assert np.mean([kept[i] for i in kept if i % 2 == 0]) > 0.9
 
 
+def test_every_character_has_its_class():
+    m = quality_divergence.measure(["😀" * 50, "𠀀" * 50, "ab 1"], quality_divergence._Slots(), quality_divergence.class_table())
+    at = quality_divergence.CLASSES.index
+    assert m.classes[0][at("symbol")] == 50 and m.classes[1][at("other_letter")] == 50
+    assert m.classes[2].tolist() == [2, 0, 0, 1, 1, 0, 0, 0]
+
+
+def test_long_common_words_and_small_languages_have_references(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitaen"
+    rows = [(k, f"{long} und die das " + prose(random.Random(k), "de", 30), "de") for k in range(30)] + [(99, "qua sed non est " * 8, "la")]
+    made = quality_divergence.learn_references(frame(spark, rows))
+    assert made.langs == ["de", "la"] and long in made.words[0] and set(made.words[1]) == {"qua", "sed", "non", "est"}
+    with pytest.raises(ValueError):
+        quality_divergence.learn_references(frame(spark, rows), quality_divergence.Rules(max_langs=1))
+
+
+def brute_verdict(text, references, rules):
+    """Both distances and the verdict of a text by their definitions."""
+    classes = [0] * len(quality_divergence.CLASSES)
+    for c in text:
+        classes[quality_divergence.class_table()[ord(c)]] += 1
+    js = lambda p, q: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(p, q, strict=True) if x) / 2
+    far = lambda p, q: max(0.0, js(p, q) + js(q, p)) ** 0.5
+    by_class = min(far([x / len(text) for x in classes], c) for c in references.classes) if len(text) >= rules.min_chars_for_classes else None
+    words = [w for x in re.findall(r"[^\x20\x09-\x0D]+", text) if (w := quality_divergence._plain(x.encode()))]
+    each = []
+    for found, limit in zip(references.words, references.limits, strict=True):
+        share = [words.count(w) / max(len(words), 1) for w in sorted(found)]
+        reference = [found[w] for w in sorted(found)]
+        d = far([*share, 1 - sum(share)], [*reference, 1 - sum(reference)])
+        each.append((d, d > np.interp(np.log(max(len(words), 1)), np.log(quality_divergence.sizes(rules)), limit)))
+    short = len(words) < rules.min_words_for_words
+    base = plain_base(text)
+    failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+    strange = not short and all(over for _, over in each)
+    return by_class, None if short else min(d for d, _ in each), not failed and not strange and not (by_class or 0) > rules.max_class_distance
+
+
+def test_verdicts_by_definition(spark):
+    docs, rules = frame(spark, ROWS), quality_divergence.Rules()
+    references = quality_divergence.learn_references(docs)
+    found = {r.doc_id: r for r in quality_divergence.judge(docs, references).collect()}
+    for i, t, _ in ROWS:
+        by_class, by_word, kept = brute_verdict(t or "", references, rules)
+        r = found[i]
+        assert r.kept == kept
+        assert r.class_distance == (by_class if by_class is None else pytest.approx(by_class, abs=1e-6))
+        assert r.word_distance == (by_word if by_word is None else pytest.approx(by_word, abs=1e-6))
+
+
 def test_quality_without_references(spark):
     none = quality_divergence.learn_references(empty(spark))
     found = quality_divergence.judge(frame(spark, ROWS[:20]), none).collect()
@@ -131,6 +188,40 @@ def test_toxicity_needs_both(spark):
     assert left == {i for i, (s, p) in found.items() if not p}
 
 
+def test_machine_learns_pure_interactions():
+    """Labels are given by exactly one of two terms: neither tells anything alone."""
+    rnd = random.Random(1)
+    noise = [rnd.randrange(100, 1 << 31) for _ in range(3000)]
+    rows, labels = [], []
+    for _ in range(3000):
+        one, two = rnd.random() < 0.5, rnd.random() < 0.5
+        rows.append(np.array(sorted({*rnd.sample(noise, 40), *([5] if one else []), *([9] if two else [])}), np.uint32))
+        labels.append(int(one != two))
+    machine = toxicity.fit(rows[:2000], labels[:2000])
+    assert {5, 9} <= set(machine.index)
+    right = [(machine.score([machine.index[t] for t in r.tolist() if t in machine.index]) >= 0.5) == label for r, label in zip(rows[2000:], labels[2000:], strict=True)]
+    assert np.mean(right) > 0.98
+
+
+def test_pair_statistic_by_definition():
+    rnd = np.random.default_rng(2)
+    held, y = rnd.random((60, 5)) < 0.4, (rnd.random(60) < 0.5).astype(float)
+
+    def g(groups):
+        out = 0.0
+        for own in groups:
+            for label in (0, 1):
+                seen, expected = float((own & (y == label)).sum()), own.sum() * (y == label).mean()
+                out += 2 * seen * np.log(seen / expected) if seen else 0
+        return out
+
+    alone = np.array([g([held[:, k], ~held[:, k]]) for k in range(5)])
+    row, col = np.nonzero(held)
+    want = [[g([held[:, a] & held[:, b], held[:, a] & ~held[:, b], ~held[:, a] & held[:, b], ~held[:, a] & ~held[:, b]]) - alone[a] - alone[b] if a != b else -np.inf for b in range(5)] for a in range(5)]
+    for least in (0.5, 1.0, 2.0, 4.0):
+        assert toxicity._in_pairs(row, col, y, 5, alone, least, strip=2).tolist() == (np.array(want) >= least).any(axis=1).tolist()
+
+
 def test_toxicity_edges(spark):
     none = toxicity.train(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     rows = frame(spark, [(1, None, "en"), (2, "", "en"), (None, "a b", "en")])
