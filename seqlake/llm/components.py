@@ -9,7 +9,7 @@ from .common import write_shared
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest reachable node) for every node of links(a, b).
+    """node, component (its smallest reachable node) for every node of links(a, b), whose ends are of one type that sorts.
 
     Each round links every node to the smallest node it can see and then
     follows one more step, until nothing changes; rounds grow with the
@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     both sides of each join come from tables, so that adaptive execution can
     split a node with very many links.  Null ends are left out.
     """
-    ends = links.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    ends = links.where("a is not null and b is not null").select("a", "b")
     edges = write_shared(ends.where("a <> b").union(ends.where("a <> b").select(F.col("b"), F.col("a"))).distinct().toDF("a", "b"), "cc-edges")
     labels = write_shared(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "cc-labels")
     while True:

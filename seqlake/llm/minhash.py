@@ -1,38 +1,50 @@
 """MinHash near-duplicates by fast similarity sketching, banding and exact verification.
 
 A document is the set of its five-word shingles.  Sets that are equal are one
-class; the rest works on class representatives.  The sketch throws all
-shingles into ``COORDINATES`` bins in rounds of fresh hashes: in each of the
-first rounds every shingle picks a bin, in each later round one bin takes
-them all, so that every coordinate is filled after twice as many rounds at
-most.  Bands of coordinates give buckets; representatives that share one are
-compared on their full sets, and components of the links give the groups.
-
-Buckets of up to ``HOT`` members yield pairs whose sketches nearly reach the
-threshold.  Families of larger buckets are compared block against block
-inside tasks: a row for each member and block, never a row for each pair, and
-no limit on partners.  With 20 bands of 5, a pair at the threshold of 0.85
-shares no bucket with a probability of 8e-6.
+class, named by a 128-bit digest; the rest works on classes.  The sketch
+throws all shingles into ``COORDINATES`` bins in rounds of fresh hashes: in
+each of the first rounds every shingle picks a bin, in each later round one
+bin takes them all, so that every coordinate is filled after twice as many
+rounds at most.  Bands of coordinates give buckets.
+
+All classes of a bucket are compared, in two steps of the same kind for every
+size of bucket:
+
+1. each with the bucket's pivot, its least digest: a row for each member.
+   Links are confirmed on full sets, and components are built;
+2. where a bucket still holds several components, the members outside that of
+   its pivot with all others of another component: they visit each block of
+   about ``BLOCK`` members, so a bucket of m members, v of them outside, takes
+   m + v * m / BLOCK rows of sketches, and sets are read for near pairs only.
+
+Pairs go to full comparison if their sizes allow the threshold and their
+sketches come within ``SLACK`` of it.  A pair at the threshold of 0.85 shares
+no bucket (20 bands of 5) with a probability of 8e-6 and is dropped by its
+sketches with one under 1e-5.
 
 Defined results: null, empty or blank texts have no shingles, are linked with
-nothing and are kept; shorter texts than five words are one shingle;
-repeated rows are copies; rows with a null doc_id are left out; an empty
-table gives an empty result; other columns are not looked at.
+nothing and are kept; shorter texts than five words are one shingle; a very
+long text is compared by all its shingles; repeated rows are copies; rows
+that share an id are one document, linked with what any of them is linked
+with; rows with a null doc_id are compared like all others and kept only if
+no row with an id is reachable; an empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, write_shared
+from .common import frugal, of_worker, slices, texts, write_shared
 from .components import components
 
 COORDINATES, BANDS, ROWS = 100, 20, 5
-HOT, BLOCK = 64, 256
+BLOCK = 256
 SHINGLE = 5
 #: A sketch of a pair at the threshold falls this far below it with a probability under 1e-5.
 SLACK = 0.16
@@ -42,7 +54,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         made = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -50,15 +62,12 @@ class _WordHashes(dict):
         return made
 
 
-_hashes = _WordHashes()
-
-
 def shingles(text: str):
     """The sorted 64-bit hashes of a text's distinct shingles."""
     import numpy as np
 
     found = text.encode().lower().split()  # of bytes: only A-Z and ASCII white space
-    hashes = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    hashes = np.fromiter(map(of_worker("minhash", _WordHashes).__getitem__, found), np.uint64, len(found))
     size = min(SHINGLE, len(hashes))
     if not size:
         return hashes
@@ -102,9 +111,11 @@ def sketch(sets: list):
     return out
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+def _digest(shingles) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
 
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     for part in (p for b in batches for p in slices(b, limit=1 << 20)):
@@ -120,65 +131,89 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"),
+                part.column("body"),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.array([x.tobytes() for x in small], pa.binary()),
                 pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "digest", "sketch", "bands"],
+            names=["doc_id", "body", "n_shingles", "digest", "sketch", "bands"],
         )
 
 
+def _bodies(docs: DataFrame) -> DataFrame:
+    """body: a hash of the text, which tells apart the texts of a repeated id."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("body"))
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set, sketch (a byte for each coordinate), bands (bucket keys)."""
-    usable = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    return usable.mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>")
+    """doc_id, body, n_shingles, digest of the whole set, sketch (a byte for each coordinate), bands (bucket keys)."""
+    return _bodies(docs).mapInArrow(frugal(_describe), "doc_id long, body long, n_shingles long, digest binary, sketch binary, bands array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in (p for b in batches for p in slices(b)):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingles(t).tobytes() for t in texts(part)], pa.binary())], names=["rep", "shingles"])
+    for part in (p for b in batches for p in slices(b, limit=1 << 20)):
+        sets = [shingles(t) for t in texts(part)]
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
+
+
+def _stacked(column: pa.Array):
+    """A matrix of the bytes of equally long sketches."""
+    import numpy as np
 
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of rows with equal keys in sorted batches."""
+
+def _may_reach(threshold: float, n_a, n_b, sketch_a, sketch_b):
+    """Whether sizes and sketches allow the threshold; arguments broadcast against each other."""
     import numpy as np
 
-    rest: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        table = pa.Table.from_batches([*rest, b]).combine_chunks()
-        columns = [table.column(k).to_numpy() for k in keys]
-        new = np.zeros(table.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        edges = [0, *np.flatnonzero(new).tolist(), table.num_rows]
-        for s, e in zip(edges[:-2], edges[1:-1], strict=True):
-            yield table.slice(s, e - s)
-        rest = table.slice(edges[-2]).combine_chunks().to_batches()
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def _near_pairs(threshold: float):
-    """Pairs of a bucket whose sketches and sizes may reach the threshold, outside one family."""
+    return (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b)) & ((sketch_a == sketch_b).mean(axis=-1) >= threshold - SLACK)
+
+
+def _near_pivot(threshold: float):
+    """Of rows of a member and its pivot, those that may reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = _may_reach(threshold, *(b.column(k).to_numpy() for k in ("n_a", "n_b")), *(_stacked(b.column(k)) for k in ("sketch_a", "sketch_b"))) if b.num_rows else []
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _near_visitors(threshold: float):
+    """Of rows sorted by bucket, block and visit: pairs of a visitor and a member of the block that lie in two components and may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for g in _groups(batches, ["bucket"]):
-            if g.num_rows < 2:
-                continue
-            rep, family, n = (g.column(k).to_numpy() for k in ("rep", "family", "n_shingles"))
-            made = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-            a, b = np.triu_indices(len(rep), 1)
-            good = (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & ((family[a] != family[b]) | (family[a] < 0))
-            a, b = a[good], b[good]
-            good = (made[a] == made[b]).mean(axis=1) >= threshold - SLACK
-            a, b = rep[a[good]], rep[b[good]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        now, home = None, []  # the block at hand and its own members, which come before the visitors
+        for b in batches:
+            places = list(zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), strict=True))
+            edges = [0, *(k for k in range(1, len(places)) if places[k] != places[k - 1]), len(places)]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if start == end:
+                    continue
+                if places[start] != now:
+                    now, home = places[start], []
+                g = b.slice(start, end - start)
+                visits = g.column("visit").to_numpy(zero_copy_only=False)
+                own, guests = g.filter(pa.array(~visits)), g.filter(pa.array(visits))
+                if own.num_rows:
+                    home.append(own)
+                if not guests.num_rows:
+                    continue
+                table = pa.Table.from_batches(home).combine_chunks()
+                home = table.to_batches()
+                digest, component = (np.array(table.column(k).to_pylist(), object) for k in ("digest", "component"))
+                n, sketch = table.column("n_shingles").to_numpy(), _stacked(table.column("sketch").combine_chunks())
+                found = []
+                for d, c, k, made in zip(guests.column("digest").to_pylist(), guests.column("component").to_pylist(), guests.column("n_shingles").to_pylist(), _stacked(guests.column("sketch")), strict=True):
+                    found += [(min(d, x), max(d, x)) for x in digest[(component != c) & _may_reach(threshold, n, k, sketch, made[None, :])]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -199,96 +234,62 @@ def _verify(percent: int):
     return run
 
 
-def _verify_blocks(percent: int):
-    """Links between two blocks of a family, thinned to those that join what is not yet joined."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for g in _groups(batches, ["family", "block_a", "block_b"]):
-            if g.num_rows < 2:
-                continue
-            rep, block = g.column("rep").to_numpy(), g.column("block").to_numpy()
-            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in g.column("shingles").combine_chunks()]
-            sizes = np.array([len(s) for s in sets])
-            _, item = np.unique(np.concatenate(sets), return_inverse=True)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            counts = np.bincount(item)
-            # shingles of all but one document tell no pairs apart; the rest is multiplied in strips
-            shared = counts[item] > 1
-            _, col = np.unique(item[shared], return_inverse=True)
-            row, width = owner[shared], int(col.max()) + 1 if shared.any() else 0
-            same = np.zeros((len(sets), len(sets)), np.float32)
-            for start in range(0, width, 4096):
-                inside = (col >= start) & (col < start + 4096)
-                strip = np.zeros((len(sets), min(4096, width - start)), np.float32)
-                strip[row[inside], col[inside] - start] = 1
-                same += strip @ strip.T
-            same = np.rint(same).astype(np.int64)
-            linked = (same > 0) & (100 * same >= percent * (sizes[:, None] + sizes[None, :] - same))
-            if g.column("block_a")[0].as_py() != g.column("block_b")[0].as_py():
-                linked &= block[:, None] != block[None, :]
-            at = list(range(len(sets)))
-
-            def root(i: int) -> int:
-                while at[i] != i:
-                    at[i] = i = at[at[i]]
-                return i
-
-            kept = []
-            for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-                p, q = root(int(i)), root(int(j))
-                if p != q:
-                    at[max(p, q)] = min(p, q)
-                    kept.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=["a", "b"])
-
-    return run
+def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of digests whose full sets reach the threshold."""
+    set_a, set_b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+    return near.join(set_a, "a").join(set_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(frugal(_verify(percent)), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row with an id.
+    """doc_id, n_shingles, component_id, kept for each row.
 
     Links are pairs with 100 * intersection >= percent * union of their full
     sets; component_id is the smallest doc_id reachable.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    threshold = percent / 100
     described = write_shared(describe(docs), "minhash")
-    classes = described.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = write_shared(classes, "minhash-classes")
-    placed = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = write_shared(placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1"), "minhash-buckets")
+    full = described.where("n_shingles > 0")
+    first = {k: F.first(k).alias(k) for k in ("n_shingles", "sketch", "bands")}
+    classes = write_shared(full.groupBy("digest").agg(F.min(F.struct("doc_id", "body")).alias("one"), F.min("doc_id").alias("least_id"), *first.values()), "minhash-classes")
+    placed = classes.select("digest", F.explode("bands").alias("bucket"))
+    shared = write_shared(placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("digest").alias("pivot")).where("members > 1"), "minhash-buckets")
     members = write_shared(placed.join(shared, "bucket"), "minhash-members")
-
-    # families of large buckets, blocks of a bounded size within each
-    large = members.where(F.col("members") > HOT)
-    family = components(large.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    family = family.select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    sized = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = write_shared(family.join(sized, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "minhash-families")
-
-    small = members.where(F.col("members") <= HOT)
-    active = small.select("rep").union(blocks.select("rep")).distinct()
-    bodies = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    # a repeated id names several texts; the class is that of the text whose digest it stands for
-    sets = bodies.join(active.hint("shuffle_hash"), bodies.doc_id == active.rep, "left_semi").mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
-    sets = write_shared(sets, "minhash-sets")
-
-    pairs_of = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs_of = pairs_of.select("family", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "rep")
-    dealt = pairs_of.join(sets, "rep").repartition(parts, "family", "block_a", "block_b").sortWithinPartitions("family", "block_a", "block_b", "rep")
-    within = dealt.select("family", "block_a", "block_b", "block", "rep", "shingles").mapInArrow(_verify_blocks(percent), "a long, b long")
-
-    known = classes.select("rep", "n_shingles", "sketch").join(blocks.select("rep", "family"), "rep", "left")
-    bucketed = small.select("bucket", "rep").join(known, "rep").select("bucket", "rep", F.coalesce("family", F.lit(-1)).alias("family"), "n_shingles", "sketch")
-    near = bucketed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_near_pairs(percent / 100), "a long, b long").distinct()
-    set_a, set_b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    across = near.join(set_a, "a").join(set_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
-
-    found = components(within.union(across)).withColumnRenamed("node", "rep")
-    classed = classes.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = described.join(classed, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    known = classes.select("digest", "n_shingles", "sketch")
+
+    active = members.select("digest").distinct().join(classes.select("digest", "one"), "digest").select(F.col("one.doc_id").alias("of_id"), F.col("one.body").alias("of_body"))
+    bodies = _bodies(docs)
+    chosen = bodies.join(active.hint("shuffle_hash"), bodies.doc_id.eqNullSafe(active.of_id) & (bodies.body == active.of_body), "left_semi")
+    sets = write_shared(chosen.select("text").mapInArrow(frugal(_sets), "digest binary, shingles binary").dropDuplicates(["digest"]), "minhash-sets")
+
+    # rows that share an id are one document
+    named = full.where("doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("last")).where("a <> last").select("doc_id", "a")
+    same_id = write_shared(named.join(several, "doc_id").where("a <> digest").select("a", F.col("digest").alias("b")).distinct(), "minhash-same-id")
+
+    pairs = members.where("digest <> pivot").select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = pairs.join(known.toDF("a", "n_a", "sketch_a"), "a").join(known.toDF("b", "n_b", "sketch_b"), "b")
+    near = write_shared(pairs.mapInArrow(frugal(_near_pivot(threshold)), "a binary, b binary"), "minhash-near")
+    links = write_shared(_links(near, sets, percent).union(same_id), "minhash-links")
+    found = components(links)
+
+    # buckets that still hold several components
+    grouped = write_shared(members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest")), "minhash-grouped")
+    ends = grouped.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.when(F.col("digest") == F.col("pivot"), F.col("component"))).alias("main"))
+    left = grouped.where("digest <> pivot").join(ends.where("least <> most").select("bucket", "main"), "bucket")
+    left = left.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    left = write_shared(left.join(known, "digest").select("bucket", "block", "blocks", "digest", "component", "main", "n_shingles", "sketch"), "minhash-left")
+    row = ["bucket", "block", "visit", "digest", "component", "n_shingles", "sketch"]
+    visitors = left.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visit", F.lit(True))
+    dealt = left.withColumn("visit", F.lit(False)).select(row).union(visitors.select(row)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "visit")
+    across = write_shared(dealt.mapInArrow(frugal(_near_visitors(threshold)), "a binary, b binary").distinct(), "minhash-across")
+    more = write_shared(_links(across, sets, percent), "minhash-more-links")
+    # labels of the first step stand for its links
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+    labelled = classes.select("digest", "least_id").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    classed = write_shared(labelled.join(least, "component").select("digest", "component_id"), "minhash-classed")
+    out = described.select("doc_id", "n_shingles", "digest").join(classed, "digest", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = F.coalesce(component == F.col("doc_id"), component.isNull())
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
