@@ -20,22 +20,29 @@ def shingle_set(text):
 
 
 def brute_components(rows, percent=85):
-    sets = {i: shingle_set(t) for i, t, _ in rows if i is not None}
-    at = {i: i for i in sets}
+    """By row: rows with one id are one document; a row without an id counts by its links."""
+    sets = [shingle_set(t) for _, t, _ in rows]
+    at = list(range(len(rows)))
 
     def root(i):
         while at[i] != i:
             i = at[i]
         return i
 
-    ids = sorted(sets)
-    for n, i in enumerate(ids):
-        for j in ids[:n]:
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= percent * len(sets[i] | sets[j]):
-                a, b = sorted((root(i), root(j)))
-                at[b] = a
-    return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+    for n, (i, _, _) in enumerate(rows):
+        for m in range(n):
+            both = len(sets[n] & sets[m])
+            if both and 100 * both >= percent * len(sets[n] | sets[m]) or i is not None and sets[n] and sets[m] and i == rows[m][0]:
+                at[root(n)] = root(m)
+    least = {}
+    for n, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[root(n)] = min(least.get(root(n), i), i)
+    out = {}
+    for n, (i, _, _) in enumerate(rows):
+        component = least.get(root(n)) if sets[n] else i
+        out[i] = (len(sets[n]), component, component is None or i == component)
+    return out
 
 
 def near_rows(rows, spark):
@@ -62,6 +69,40 @@ def test_large_family(spark):
     assert near_rows(rows, spark) == brute_components(rows)
 
 
+def test_repeated_and_missing_ids(spark):
+    rnd = random.Random(8)
+    a, b = prose(rnd, "en", 60), prose(rnd, "fr", 60)
+    rows = [(5, a, "en"), (5, b, "en"), (6, a + " more", "en"), (7, b + " more", "en"), (None, b + " more", "en")]
+    found = sorted((r.doc_id is None, r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert found == [(False, 5, 5, True), (False, 5, 5, True), (False, 6, 5, False), (False, 7, 5, False), (True, None, 5, False)]
+
+
+@pytest.mark.parametrize("n", [40, 60, 70, 200])
+def test_same_recall_for_every_size_of_bucket(spark, n):
+    """Pairs that are linked to one another alone, all in buckets of one family: none is lost."""
+    rnd = random.Random(n)
+    common = prose(rnd, "en", 130).split()[:130]
+    rows = []
+    for k in range(n // 2):
+        own = common + [f"own{k}x{j}" for j in range(30)]
+        rows += [(2 * k, " ".join(own), "en"), (2 * k + 1, " ".join([*own, "end"]), "en")]
+    assert near_rows(rows, spark) == brute_components(rows)
+    assert {v[1] for v in brute_components(rows).values()} == set(range(0, n - n % 2, 2))
+
+
+def test_one_large_family(spark):
+    """Near copies of one text, more than fit a block, are one component."""
+    rnd = random.Random(3)
+    base = prose(rnd, "en", 200).split()
+    rows = [(0, " ".join(base), "en")]
+    for i in range(1, 900):
+        words = list(base)
+        words[rnd.randrange(len(words))] = f"edit{i}"
+        rows.append((i, " ".join(words), "en"))
+    found = near_rows(rows, spark)
+    assert {v[1] for v in found.values()} == {0}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(empty(spark)).collect() == []
     assert near_rows([(3, None, None), (1, "", None), (2, " \n", None)], spark) == {i: (0, i, True) for i in (1, 2, 3)}
@@ -135,7 +176,7 @@ def test_anchor_of_equal_strings_is_equal():
     rnd = random.Random(9)
     shared = "".join(rnd.choice("ab ") for _ in range(130))
     bodies = [("".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 80))) + shared + "zz").encode() for _ in range(5)]
-    d, p, first, last, h = suffix_dedup.anchors(bodies, 100, 24)
+    d, p, first, last, h, _ = suffix_dedup.anchors(bodies, 100, 24)
     by_start = {}
     for k in range(len(d)):
         for s in range(first[k], last[k] + 1):
@@ -147,6 +188,66 @@ def test_anchor_of_equal_strings_is_equal():
     assert sum(by_start.values()) == sum(max(0, len(b) - 99) for b in bodies)
 
 
+def test_long_texts_go_in_windows(monkeypatch):
+    """Anchors of a long text are the same whatever the windows."""
+    rnd = random.Random(2)
+    body = prose(rnd, "en", 20_000).encode()
+    want = suffix_dedup.anchors([body], 100, 24)
+    monkeypatch.setattr(suffix_dedup, "WINDOW", 5_000)
+    monkeypatch.setattr(suffix_dedup, "RUN", 5_000)
+    parts = list(suffix_dedup._windows([body], 100, 24))
+    assert len(parts) > 20
+    for k in range(1, 6):
+        assert np.array_equal(want[k], np.concatenate([x[k] for x in parts]))
+
+
+def test_repeated_passages_of_long_texts(spark):
+    """Texts above the windows' size, one of which repeats passages of itself and of the other."""
+    rnd = random.Random(12)
+    one = prose(rnd, "en", 120_000)
+    two = prose(rnd, "de", 60_000) + one[5_000:9_000] + prose(rnd, "fr", 20_000) + one[600_000:600_400] + one[-99:]
+    assert len(one) > suffix_dedup.WINDOW + 600_000 // 4
+    rows = [(1, one + one[:3_000], "en"), (2, two, "de"), (3, one[100:199], "en"), (4, one[100:200], "en")]
+    found = suffix_dedup.removal_report(frame(spark, rows)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in found} == brute_removal(rows, 100)
+
+
+def test_ranks_are_those_of_a_suffix_array(spark):
+    """Doubled ranks of positions are equal just where the strings behind them are, as in a sorted suffix array."""
+    rnd = random.Random(5)
+    passage = prose(rnd, "en", 40)[:170]
+    rows = [(i, "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 30))) + passage[rnd.randint(0, 20) :] + "".join(rnd.choice("xyz ") for _ in range(60)), "en") for i in range(40)]
+    bodies = {i: t.encode() for i, t, _ in rows}
+    length, gram = 100, 24
+    places, names = [], []
+    for i, body in bodies.items():
+        _, p, first, last, _, _ = suffix_dedup.anchors([body], length, gram)
+        if len(p):
+            anchor, node, _, _, grams, _ = suffix_dedup.runs_of(body, p, p - first, p - last, length, gram)
+            places += [(i, int(x), int(k)) for x, k in zip(p[anchor], node, strict=True)]
+            names += list(zip(*(g.view(np.int64).tolist() for g in grams), strict=True))
+    width = len(names[0])
+    kind = "doc_id long, p int, node int, " + ", ".join(f"n{k} long" for k in range(width))
+    table, columns = spark.createDataFrame([(*a, *b) for a, b in zip(places, names, strict=True)], kind), [f"n{k}" for k in range(width)]
+    while len(columns) > 2:
+        table, columns = suffix_dedup._reranked(table, columns)
+    ranks = {(r.doc_id, r.p, r.node): tuple(r[c] for c in columns) for r in table.collect()}
+    shared = length - suffix_dedup.STEP + 1
+    core = {(i, p, n): (n, bodies[i][p - n * suffix_dedup.STEP :][:shared]) for i, p, n in places}
+    suffixes = sorted(core, key=lambda x: core[x])
+    for a, b in zip(suffixes, suffixes[1:]):
+        if core[a] == core[b]:
+            assert ranks[a] == ranks[b]
+        elif a in ranks and b in ranks:
+            assert ranks[a] != ranks[b]
+    assert 0 < len(ranks) < len(core)
+
+
+def test_doublings():
+    assert suffix_dedup.doublings(100, 24) == [24, 43] and suffix_dedup._named([24, 43]) == [0, 24, 43, 67]
+    assert suffix_dedup.doublings(40, 12) == [12, 7] and suffix_dedup.doublings(400, 24) == [24, 48, 96, 192, 7]
+
+
 def test_next_document_and_edits(spark):
     rows = [r for r in ROWS if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())
