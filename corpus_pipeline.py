@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.llm import minhash, quality_divergence, retrieval_packing, suffix_dedup, toxicity
-from seqlake.llm.common import documents, held_out, release_shared, write_shared
+from seqlake.llm.common import discard, documents, held_out, release_shared, write_shared
 from seqlake.llm.queries import json_tokenizer
 from seqlake.session import ship
 
@@ -35,16 +35,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows that repeat an id one stays."""
+    """The document with the smallest doc_id of each group; of rows that repeat an id the one whose text has the least hash stays.
+
+    Rows without an id cannot be named as copies, and stay.
+    """
     _begin(spark)
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+    gone = minhash.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
     kept = docs.join(write_shared(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    of_text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(of_text).alias("least")).where("n > 1 and doc_id is not null")
     if not again.limit(1).count():
         return kept
-    again = write_shared(again, "repeated-ids")
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").union(once).select(*docs.columns)
+    again = write_shared(again.select(F.col("doc_id").alias("of_id"), "least"), "repeated-ids")
+    same_id = F.col("doc_id") == F.col("of_id")
+    once = kept.join(again, same_id & (of_text == F.col("least"))).select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again, same_id, "left_anti").select(*docs.columns).union(once)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,9 +78,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written and read again before the next stage."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = write_shared(docs, f"stage-{k}", releasable=False)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
