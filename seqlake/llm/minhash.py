@@ -7,15 +7,18 @@ each of the first rounds every shingle picks a bin, in each later round one
 bin takes them all, so that every coordinate is filled after twice as many
 rounds at most.  Bands of coordinates give buckets.
 
-All classes of a bucket are compared, in two steps of the same kind for every
-size of bucket:
-
-1. each with the bucket's pivot, its least digest: a row for each member.
-   Links are confirmed on full sets, and components are built;
-2. where a bucket still holds several components, the members outside that of
-   its pivot with all others of another component: they visit each block of
-   about ``BLOCK`` members, so a bucket of m members, v of them outside, takes
-   m + v * m / BLOCK rows of sketches, and sets are read for near pairs only.
+All classes of a bucket are compared, in steps that are the same for every
+size of bucket.  After each, links are confirmed on full sets and components
+are built; only buckets that still hold several components go on:
+
+1. each class with the pivot, the least digest, of its largest bucket: one row
+   for each class;
+2. classes with the pivots of their other buckets that lie in another
+   component;
+3. the members outside their pivot's component with all others of another
+   component: they visit each block of about ``BLOCK`` members, so a bucket of
+   m members, v of them outside, takes m + v * m / BLOCK rows of sketches, and
+   sets are read for near pairs only.
 
 Pairs go to full comparison if their sizes allow the threshold and their
 sketches come within ``SLACK`` of it.  A pair at the threshold of 0.85 shares
@@ -240,6 +243,11 @@ def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(set_a, "a").join(set_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(frugal(_verify(percent)), "a binary, b binary")
 
 
+def _more(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what ``found`` joins and of further links; its labels stand for its own."""
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
@@ -266,25 +274,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     several = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("last")).where("a <> last").select("doc_id", "a")
     same_id = write_shared(named.join(several, "doc_id").where("a <> digest").select("a", F.col("digest").alias("b")).distinct(), "minhash-same-id")
 
-    pairs = members.where("digest <> pivot").select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = pairs.join(known.toDF("a", "n_a", "sketch_a"), "a").join(known.toDF("b", "n_b", "sketch_b"), "b")
-    near = write_shared(pairs.mapInArrow(frugal(_near_pivot(threshold)), "a binary, b binary"), "minhash-near")
-    links = write_shared(_links(near, sets, percent).union(same_id), "minhash-links")
-    found = components(links)
-
-    # buckets that still hold several components
-    grouped = write_shared(members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest")), "minhash-grouped")
-    ends = grouped.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.when(F.col("digest") == F.col("pivot"), F.col("component"))).alias("main"))
-    left = grouped.where("digest <> pivot").join(ends.where("least <> most").select("bucket", "main"), "bucket")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of a class and a pivot."""
+        pairs = pairs.join(known.toDF("a", "n_a", "sketch_a"), "a").join(known.toDF("b", "n_b", "sketch_b"), "b")
+        near = write_shared(pairs.mapInArrow(frugal(_near_pivot(threshold)), "a binary, b binary"), "minhash-near")
+        return write_shared(_links(near, sets, percent), "minhash-links")
+
+    def still_open(found: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with their own and their pivot's."""
+        labels = found.withColumnRenamed("node", "digest")
+        grouped = write_shared(members.join(labels, "digest", "left").withColumn("component", F.coalesce("component", "digest")), "minhash-grouped")
+        ends = grouped.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.when(F.col("digest") == F.col("pivot"), F.col("component"))).alias("main"))
+        return write_shared(grouped.where("digest <> pivot").join(ends.where("least <> most").select("bucket", "main"), "bucket"), "minhash-open")
+
+    others = members.where("digest <> pivot")
+    largest = others.groupBy("digest").agg(F.max(F.struct("members", "pivot")).alias("of")).select(F.col("digest").alias("a"), F.col("of.pivot").alias("b"))
+    found = components(compared(largest).union(same_id))
+    left = still_open(found)
+    found = _more(found, compared(left.where("component <> main").select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct()))
+    left = still_open(found)
     left = left.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     left = write_shared(left.join(known, "digest").select("bucket", "block", "blocks", "digest", "component", "main", "n_shingles", "sketch"), "minhash-left")
     row = ["bucket", "block", "visit", "digest", "component", "n_shingles", "sketch"]
     visitors = left.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visit", F.lit(True))
     dealt = left.withColumn("visit", F.lit(False)).select(row).union(visitors.select(row)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "visit")
     across = write_shared(dealt.mapInArrow(frugal(_near_visitors(threshold)), "a binary, b binary").distinct(), "minhash-across")
-    more = write_shared(_links(across, sets, percent), "minhash-more-links")
-    # labels of the first step stand for its links
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    found = _more(found, write_shared(_links(across, sets, percent), "minhash-links"))
 
     labelled = classes.select("digest", "least_id").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
