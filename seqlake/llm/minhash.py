@@ -11,14 +11,15 @@ All classes of a bucket are compared, in steps that are the same for every
 size of bucket.  After each, links are confirmed on full sets and components
 are built; only buckets that still hold several components go on:
 
-1. each class with the pivot, the least digest, of its largest bucket: one row
-   for each class;
+1. each class with the pivot of its largest bucket, the member that shares
+   buckets with the most others: one row for each class;
 2. classes with the pivots of their other buckets that lie in another
    component;
 3. the members outside their pivot's component with all others of another
-   component: they visit each block of about ``BLOCK`` members, so a bucket of
-   m members, v of them outside, takes m + v * m / BLOCK rows of sketches, and
-   sets are read for near pairs only.
+   component: they visit each block of about ``BLOCK`` members (fewer where
+   sets are large), so a bucket of m members, v of them outside, takes
+   m + v * m / BLOCK rows.  Pairs are compared inside the task, each in the
+   first bucket that it shares, and only while its two sides are not joined.
 
 Pairs go to full comparison if their sizes allow the threshold and their
 sketches come within ``SLACK`` of it.  A pair at the threshold of 0.85 shares
@@ -47,7 +48,7 @@ from .common import frugal, of_worker, slices, texts, write_shared
 from .components import components
 
 COORDINATES, BANDS, ROWS = 100, 20, 5
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 SHINGLE = 5
 #: A sketch of a pair at the threshold falls this far below it with a probability under 1e-5.
 SLACK = 0.16
@@ -186,35 +187,79 @@ def _near_pivot(threshold: float):
     return run
 
 
-def _near_visitors(threshold: float):
-    """Of rows sorted by bucket, block and visit: pairs of a visitor and a member of the block that lie in two components and may reach the threshold."""
+def _reach(s, t, percent: int) -> bool:
+    """Whether two sorted sets of hashes are linked."""
+    import numpy as np
+
+    if len(s) > len(t):
+        s, t = t, s
+    if not len(s) or 100 * len(s) < percent * len(t):
+        return False
+    same = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return same > 0 and 100 * same >= percent * (len(s) + len(t) - same)
+
+
+class _Block:
+    """The members of one block of a bucket, which visitors are compared with."""
+
+    def __init__(self, rows: pa.Table):
+        import numpy as np
+
+        rows = rows.combine_chunks()
+        self.component = np.array(rows.column("component").to_pylist(), object)
+        self.digest = rows.column("digest").to_pylist()
+        self.n, self.sketch, self.bands = rows.column("n_shingles").to_numpy(), _stacked(rows.column("sketch").combine_chunks()), _bands_of(rows.column("bands").combine_chunks())
+        self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles").combine_chunks()]
+        self._joined: dict[bytes, bytes] = {}
+
+    def _root(self, c: bytes) -> bytes:
+        while (up := self._joined.get(c, c)) != c:
+            c = up
+        return c
+
+    def links(self, bucket: int, component: bytes, n: int, sketch, bands, own, threshold: float, percent: int) -> Iterator[bytes]:
+        """The digests of members that join a visitor's component with one that it is not yet joined with."""
+        import numpy as np
+
+        may = np.flatnonzero((self.component != component) & _may_reach(threshold, self.n, n, self.sketch, sketch[None, :]))
+        shared = self.bands[may] == bands[None, :]
+        may = may[bands[shared.argmax(axis=1)] == bucket] if len(may) else may
+        for k in may[np.argsort(-(self.sketch[may] == sketch[None, :]).sum(axis=1), kind="stable")].tolist():
+            one, two = self._root(component), self._root(self.component[k])
+            if one != two and _reach(own, self.sets[k], percent):
+                self._joined[max(one, two)] = min(one, two)
+                yield self.digest[k]
+
+
+def _bands_of(column: pa.Array):
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _visit(threshold: float, percent: int):
+    """Of rows sorted by bucket, block and visit, the links of visitors with members of the block that join two components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        now, home = None, []  # the block at hand and its own members, which come before the visitors
-        for b in batches:
+        now, home, block = None, [], None  # the block at hand and its own members, which come before the visitors
+        for b in (p for x in batches for p in slices(x, "shingles")):
             places = list(zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), strict=True))
             edges = [0, *(k for k in range(1, len(places)) if places[k] != places[k - 1]), len(places)]
             for start, end in zip(edges[:-1], edges[1:], strict=True):
-                if start == end:
-                    continue
                 if places[start] != now:
-                    now, home = places[start], []
+                    now, home, block = places[start], [], None
                 g = b.slice(start, end - start)
                 visits = g.column("visit").to_numpy(zero_copy_only=False)
                 own, guests = g.filter(pa.array(~visits)), g.filter(pa.array(visits))
                 if own.num_rows:
                     home.append(own)
-                if not guests.num_rows:
+                if not guests.num_rows or not home:
                     continue
-                table = pa.Table.from_batches(home).combine_chunks()
-                home = table.to_batches()
-                digest, component = (np.array(table.column(k).to_pylist(), object) for k in ("digest", "component"))
-                n, sketch = table.column("n_shingles").to_numpy(), _stacked(table.column("sketch").combine_chunks())
+                block = block or _Block(pa.Table.from_batches(home))
                 found = []
-                for d, c, k, made in zip(guests.column("digest").to_pylist(), guests.column("component").to_pylist(), guests.column("n_shingles").to_pylist(), _stacked(guests.column("sketch")), strict=True):
-                    found += [(min(d, x), max(d, x)) for x in digest[(component != c) & _may_reach(threshold, n, k, sketch, made[None, :])]]
+                columns = (guests.column("digest").to_pylist(), guests.column("component").to_pylist(), guests.column("n_shingles").to_pylist(), _stacked(guests.column("sketch")), _bands_of(guests.column("bands")), guests.column("shingles"))
+                for d, c, n, sketch, bands, shingled in zip(*columns, strict=True):
+                    found += [(d, x) for x in block.links(now[0], c, n, sketch, bands, np.frombuffer(shingled.as_buffer(), np.uint64), threshold, percent)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
@@ -225,13 +270,8 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for x in batches:
-            good = []
-            for s, t in zip(x.column("set_a"), x.column("set_b"), strict=True):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                at = np.searchsorted(t, s)
-                same = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                good.append(same > 0 and 100 * same >= percent * (len(s) + len(t) - same))
+        for x in (p for b in batches for p in slices(b, "set_a")):
+            good = [_reach(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), percent) for s, t in zip(x.column("set_a"), x.column("set_b"), strict=True)]
             yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -260,8 +300,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = {k: F.first(k).alias(k) for k in ("n_shingles", "sketch", "bands")}
     classes = write_shared(full.groupBy("digest").agg(F.min(F.struct("doc_id", "body")).alias("one"), F.min("doc_id").alias("least_id"), *first.values()), "minhash-classes")
     placed = classes.select("digest", F.explode("bands").alias("bucket"))
-    shared = write_shared(placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("digest").alias("pivot")).where("members > 1"), "minhash-buckets")
+    shared = write_shared(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "minhash-buckets")
     members = write_shared(placed.join(shared, "bucket"), "minhash-members")
+    met = members.groupBy("digest").agg(F.sum("members").alias("met"))
+    pivots = members.join(met, "digest").groupBy("bucket").agg(F.max(F.struct("met", "digest")).alias("of")).select("bucket", F.col("of.digest").alias("pivot"))
+    members = write_shared(members.join(pivots, "bucket"), "minhash-pivots")
     known = classes.select("digest", "n_shingles", "sketch")
 
     active = members.select("digest").distinct().join(classes.select("digest", "one"), "digest").select(F.col("one.doc_id").alias("of_id"), F.col("one.body").alias("of_body"))
@@ -293,13 +336,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     left = still_open(found)
     found = _more(found, compared(left.where("component <> main").select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct()))
     left = still_open(found)
-    left = left.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    left = write_shared(left.join(known, "digest").select("bucket", "block", "blocks", "digest", "component", "main", "n_shingles", "sketch"), "minhash-left")
-    row = ["bucket", "block", "visit", "digest", "component", "n_shingles", "sketch"]
+    left = write_shared(left.join(classes.select("digest", "n_shingles", "sketch", "bands"), "digest"), "minhash-left")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    left = left.join(left.groupBy("bucket").agg(blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    left = write_shared(left.join(sets, "digest"), "minhash-blocks")
+    row = ["bucket", "block", "visit", "digest", "component", "n_shingles", "sketch", "bands", "shingles"]
     visitors = left.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visit", F.lit(True))
     dealt = left.withColumn("visit", F.lit(False)).select(row).union(visitors.select(row)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "visit")
-    across = write_shared(dealt.mapInArrow(frugal(_near_visitors(threshold)), "a binary, b binary").distinct(), "minhash-across")
-    found = _more(found, write_shared(_links(across, sets, percent), "minhash-links"))
+    found = _more(found, write_shared(dealt.mapInArrow(frugal(_visit(threshold, percent)), "a binary, b binary"), "minhash-links"))
 
     labelled = classes.select("digest", "least_id").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
