@@ -1,4 +1,4 @@
-"""Sizes and likeness of datasets: sketches, union estimates, partitions.
+"""Sizes and likeness of datasets: sketches, union estimates, partition counts.
 
 Groups of datasets that a packed filter would share are a matter of storage
 that Parquet takes over; what remains useful is knowing which datasets are
@@ -14,24 +14,23 @@ from seqlake.functions.hashing import mixsplit, partition_of, wrapping
 
 
 def sketches(found: DataFrame, buckets: int = 128, seed: int = 69, dataset: str = "dataset_id") -> DataFrame:
-    """dataset, bucket, least: the smallest 32-bit hash of a dataset's keys in each bucket; buckets is a power of two."""
+    """dataset, bucket, least, keys: the smallest 32-bit hash of a dataset's distinct keys in each bucket, and how many these are; buckets is a power of two."""
     with wrapping(found.sparkSession):
         hashed = found.select(dataset, mixsplit(F.col("key"), seed).alias("h"))
     split = hashed.select(dataset, F.col("h").bitwiseAND(F.lit(buckets - 1)).alias("bucket"), F.shiftrightunsigned("h", 32).alias("low"))
-    return split.groupBy(dataset, "bucket").agg(F.min("low").alias("least"))
+    return split.groupBy(dataset, "bucket").agg(F.min("low").alias("least"), F.count("*").alias("keys"))
 
 
-def jaccard_pairs(sketched: DataFrame, cardinalities: DataFrame, dataset: str = "dataset_id") -> DataFrame:
+def jaccard_pairs(sketched: DataFrame, dataset: str = "dataset_id") -> DataFrame:
     """a, b, jaccard, union_estimate for pairs of datasets that agree in a bucket.
 
     The estimate is (A + B) / (1 + J), held between the larger of A and B and
     their sum.
     """
-    filled = sketched.groupBy(dataset).agg(F.count("*").alias("filled"))
+    sizes = sketched.groupBy(dataset).agg(F.count("*").alias("filled"), F.sum("keys").alias("unique_kmers"))
     one = sketched.select(F.col(dataset).alias("a"), "bucket", "least")
     two = sketched.select(F.col(dataset).alias("b"), "bucket", "least")
     same = one.join(two, ["bucket", "least"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("same"))
-    sizes = cardinalities.join(filled, dataset)
     of = lambda side: sizes.select(F.col(dataset).alias(side), F.col("unique_kmers").alias(f"size_{side}"), F.col("filled").alias(f"filled_{side}"))
     joined = same.join(of("a"), "a").join(of("b"), "b")
     jaccard = F.col("same").cast("double") / F.greatest("filled_a", "filled_b")
@@ -40,45 +39,9 @@ def jaccard_pairs(sketched: DataFrame, cardinalities: DataFrame, dataset: str =
     return joined.select("a", "b", jaccard.alias("jaccard"), F.round(union).cast("long").alias("union_estimate"))
 
 
-def partition_counts(found: DataFrame, partitions: int, seed: int = 69) -> DataFrame:
-    """partition, postings, keys; partitions is a power of two."""
+def partition_counts(found: DataFrame, partitions: int, seed: int = 69, dataset: str = "dataset_id") -> DataFrame:
+    """partition, postings, keys of rows (dataset, key), which may repeat; partitions is a power of two."""
+    each = found.groupBy("key").agg(F.size(F.collect_set(dataset)).alias("n"))
     with wrapping(found.sparkSession):
-        placed = found.select(partition_of(F.col("key"), seed, partitions).alias("partition"), "key")
-    each = placed.groupBy("partition", "key").agg(F.count("*").alias("n"))
-    return each.groupBy("partition").agg(F.sum("n").alias("postings"), F.count("*").alias("keys"))
-
-
-def partitions_for(postings: int, bytes_each: int = 16, most_bytes: int = 8 << 30) -> int:
-    """The power of two of partitions that keeps each below ``most_bytes``."""
-    need = -(-postings * bytes_each // most_bytes)
-    return 1 << max(0, need - 1).bit_length()
-
-
-def promotions(classes: dict[int, int], min_datasets: int, max_classes: int | None = None) -> dict[int, int]:
-    """Which larger size each size class (size: datasets) is padded to.
-
-    Classes are merged upwards into runs of neighbouring sizes that hold
-    ``min_datasets`` each, ``max_classes`` runs at most, at the least padding.
-    """
-    sizes = sorted(classes)
-    most = len(sizes) if max_classes is None else max_classes
-    best: dict[tuple[int, int], tuple[int, list[int]]] = {(0, 0): (0, [])}
-    for end in range(1, len(sizes) + 1):
-        for begin in range(end):
-            run = sizes[begin:end]
-            if sum(classes[s] for s in run) < min_datasets and end - begin < len(sizes):
-                continue
-            cost = sum(classes[s] * (run[-1] - s) for s in run)
-            for used in range(most):
-                if (before := best.get((begin, used))) is not None:
-                    found = (before[0] + cost, [*before[1], end])
-                    if found < best.get((end, used + 1), (float("inf"), [])):
-                        best[end, used + 1] = found
-    ends = [best[k] for k in best if k[0] == len(sizes)]
-    if not ends:
-        return {s: s for s in sizes}
-    out, begin = {}, 0
-    for end in min(ends)[1]:
-        out |= {s: sizes[end - 1] for s in sizes[begin:end]}
-        begin = end
-    return out
+        placed = each.select(partition_of(F.col("key"), seed, partitions).alias("partition"), "n")
+    return placed.groupBy("partition").agg(F.sum("n").alias("postings"), F.count("*").alias("keys"))

@@ -22,12 +22,17 @@ from .seeds import seeds
 
 def postings(sequences: DataFrame, config: SeedConfig, dataset: str = "dataset_id", seq: str = "seq") -> DataFrame:
     """Each (key, dataset) once."""
-    return seeds(sequences, config, [dataset], seq, distinct=True).distinct()
+    return occurrences(sequences, config, dataset, seq).select(dataset, "key").distinct()
+
+
+def occurrences(sequences: DataFrame, config: SeedConfig, dataset: str = "dataset_id", seq: str = "seq") -> DataFrame:
+    """dataset, key, n: counted within each batch, so a pair may come up again; enough for sets, masks and sums, without a shuffle."""
+    return seeds(sequences, config, [dataset], seq, distinct=True)
 
 
 def dataset_stats(sequences: DataFrame, config: SeedConfig, dataset: str = "dataset_id", seq: str = "seq") -> DataFrame:
     """Occurrences and distinct seeds of each dataset: counts are summed by key first, so that no dataset's keys meet in one task."""
-    each = seeds(sequences, config, [dataset], seq).groupBy(dataset, "key").agg(F.count("*").alias("n"))
+    each = occurrences(sequences, config, dataset, seq).groupBy(dataset, "key").agg(F.sum("n").alias("n"))
     return each.groupBy(dataset).agg(F.sum("n").alias("occurrences"), F.count("*").alias("unique_kmers"))
 
 
@@ -38,6 +43,12 @@ def origin_masks(found: DataFrame, dataset: str = "dataset_id") -> DataFrame:
     return found.groupBy("key").agg(F.bit_or(F.when(~F.col(dataset).between(0, 62), beyond).otherwise(bit)).alias("mask"))
 
 
+def origin_words(found: DataFrame, dataset: str = "dataset_id") -> DataFrame:
+    """key, word, mask: the datasets of each key, any number of them, as bits of numbered words; dataset d is bit d mod 63 of word d div 63."""
+    word, bit = F.floor(F.col(dataset) / 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(dataset), F.lit(63)).cast("int"))
+    return found.select("key", word.alias("word"), bit.alias("bit")).groupBy("key", "word").agg(F.bit_or("bit").alias("mask"))
+
+
 def recovery(found: DataFrame, config: SeedConfig, dataset: str = "dataset_id") -> DataFrame:
     """hash, dataset_ids: the datasets of all keys that share a 32-bit hash, ascending."""
     from seqlake.functions.hashing import recovery_hash
@@ -47,6 +58,17 @@ def recovery(found: DataFrame, config: SeedConfig, dataset: str = "dataset_id")
     return hashed.groupBy("hash").agg(F.array_sort(F.collect_set(dataset)).alias("dataset_ids"))
 
 
+def recovered(table: DataFrame, queries: DataFrame, config: SeedConfig, query: str = "query_id") -> DataFrame:
+    """query, dataset_id, matches, queried_seeds: seeds whose 32-bit hash stands in a table of ``recovery``."""
+    from seqlake.functions.hashing import recovery_hash
+
+    weighted = seeds(queries, config, [query], distinct=True).groupBy(query, "key").agg(F.sum("n").alias("n"))
+    with wrapping(queries.sparkSession):
+        hashed = weighted.select(query, "n", recovery_hash(F.col("key"), config.seed).alias("hash"))
+    found = hashed.join(table, "hash").select(query, "n", F.explode("dataset_ids").alias("dataset_id")).groupBy(query, "dataset_id").agg(F.sum("n").alias("matches"))
+    return found.join(weighted.groupBy(query).agg(F.sum("n").alias("queried_seeds")), query)
+
+
 def build(sequences: DataFrame, colors: DataFrame, config: SeedConfig, path: str, partitions: int = 16, most_bases: int | None = None) -> None:
     """Writes an index of sequences(dataset_id, seq) and colors(dataset_id, name, path); fails if ``path`` exists.
 
@@ -63,13 +85,21 @@ def build(sequences: DataFrame, colors: DataFrame, config: SeedConfig, path: str
     found = postings(sequences, config)
     with wrapping(spark):
         placed = found.select(partition_of(F.col("key"), config.seed, partitions).cast("int").alias("partition"), "key", "dataset_id")
-    placed.repartition(partitions, "partition").sortWithinPartitions("partition", "key", "dataset_id").write.partitionBy("partition").mode("errorifexists").option("compression", "zstd").parquet(f"{path}/postings")
+    _write_postings(placed, partitions, path)
     stats = dataset_stats(sequences, config)
     colors.join(stats, "dataset_id", "left").na.fill(0, ["occurrences", "unique_kmers"]).select("dataset_id", "name", "path", "occurrences", "unique_kmers").write.option("compression", "zstd").parquet(f"{path}/colors")
     # the manifest is written last: a folder without it is no index
     spark.createDataFrame([(json.dumps(dataclasses.asdict(config)), partitions)], "config string, partitions int").coalesce(1).write.parquet(f"{path}/manifest")
 
 
+def _write_postings(placed: DataFrame, partitions: int, path: str) -> None:
+    """A few tasks for each index partition, dealt by key, so that neither few partitions nor large ones bound the tasks."""
+    parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), partitions)
+    share = F.pmod(F.xxhash64("key"), F.lit(-(-parts // partitions)))
+    dealt = placed.repartition(parts, "partition", share).sortWithinPartitions("partition", "key", "dataset_id")
+    dealt.write.partitionBy("partition").mode("errorifexists").option("compression", "zstd").parquet(f"{path}/postings")
+
+
 @dataclasses.dataclass
 class Index:
     config: SeedConfig
@@ -99,22 +129,26 @@ def routed(index: Index, keys: DataFrame) -> DataFrame:
 
 
 def fuse(first: Index, *others: Index) -> Index:
-    """All datasets of several indexes, numbered on in the order given; equal names are kept."""
-    colors, found, after = first.colors, first.postings, first.colors.count()
+    """All datasets of several indexes, numbered on in the order given, whatever gaps their numbers have; equal names are kept."""
+
+    def numbers(index: Index) -> int:
+        return (index.colors.agg(F.max("dataset_id")).first()[0] or 0) + 1
+
+    colors, found, after = first.colors, first.postings, numbers(first)
     for other in others:
         if (other.config, other.partitions) != (first.config, first.partitions):
             raise ValueError("indexes of one configuration and number of partitions can be fused")
         shift = F.col("dataset_id") + after
         colors = colors.unionByName(other.colors.withColumn("dataset_id", shift.cast(first.colors.schema["dataset_id"].dataType)))
         found = found.unionByName(other.postings.withColumn("dataset_id", shift.cast(first.postings.schema["dataset_id"].dataType)))
-        after += other.colors.count()
+        after += numbers(other)
     return Index(first.config, first.partitions, colors, found)
 
 
 def save(index: Index, path: str) -> None:
     """Writes a fused index."""
     spark = index.colors.sparkSession
-    index.postings.repartition(index.partitions, "partition").sortWithinPartitions("partition", "key", "dataset_id").write.partitionBy("partition").mode("errorifexists").option("compression", "zstd").parquet(f"{path}/postings")
+    _write_postings(index.postings, index.partitions, path)
     index.colors.write.option("compression", "zstd").parquet(f"{path}/colors")
     spark.createDataFrame([(json.dumps(dataclasses.asdict(index.config)), index.partitions)], "config string, partitions int").coalesce(1).write.parquet(f"{path}/manifest")
 

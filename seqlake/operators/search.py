@@ -36,7 +36,7 @@ def _few_keys(keys: DataFrame, most: int = BROADCAST_KEYS) -> Broadcast | None:
 def dataset_hits(datasets: DataFrame, config: SeedConfig, keys: DataFrame, dataset: str = "dataset_id", seq: str = "seq", most_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Each (dataset, key) once whose key is among ``keys``."""
     few = _few_keys(keys, most_keys)
-    found = seeds(datasets, config, [dataset], seq, only=few, distinct=True).distinct()
+    found = seeds(datasets, config, [dataset], seq, only=few, distinct=True).select(dataset, "key").distinct()
     return found if few is not None else found.join(keys.select("key").distinct(), "key", "left_semi")
 
 
@@ -106,6 +106,11 @@ def with_no_hits(found: DataFrame, totals: DataFrame, query: str = "query_id") -
     return totals.join(found.drop("queried_seeds"), query, "left").na.fill(0, ["matches"]).na.fill(0.0, ["ratio"])
 
 
+def named(found: DataFrame, datasets: DataFrame, dataset: str = "dataset_id") -> DataFrame:
+    """found with the ``dataset_name`` of each row from datasets(dataset, name); null where a query hit none."""
+    return found.join(datasets.select(dataset, F.col("name").alias("dataset_name")), dataset, "left")
+
+
 def compact(found: DataFrame, totals: DataFrame, query: str = "query_id", dataset: str = "dataset_id") -> DataFrame:
     """query, valid_kmers, hits: ``id:count`` by ascending dataset, joined by commas."""
     listed = found.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(dataset, "matches"))).alias("found"))

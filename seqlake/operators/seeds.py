@@ -16,8 +16,11 @@ from seqlake.functions.sequences import homopolymer_compress, reverse_complement
 SLICE, PIECE = 1 << 22, 1 << 20
 
 
-def seed_arrays(data, config: SeedConfig):
-    """place, run and key of each seed of a byte array; a run is named by the number of breaks before it."""
+def seed_arrays(data, config: SeedConfig, told=()):
+    """place, run and key of each seed of a byte array; a run is named by the number of breaks before it.
+
+    ``told``: starts of windows whose minimizers another piece of their sequence tells.
+    """
     import numpy as np
 
     from seqlake.functions import kernels as kn
@@ -34,7 +37,7 @@ def seed_arrays(data, config: SeedConfig):
             # a place that the window before has chosen is not told again
             new = np.ones(len(place), bool)
             new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
-            place = place[new]
+            place = place[new & ~np.isin(starts, told)]
         if config.strobes:
             place = np.unique(place)
     else:
@@ -68,25 +71,28 @@ def prepared(sequences: DataFrame, config: SeedConfig, seq: str = "seq", reverse
 def pieces(sequences: DataFrame, config: SeedConfig, seq: str = "seq", size: int = PIECE) -> DataFrame:
     """Cuts long sequences into overlapping pieces, column ``offset``, so that no row is one task's whole work.
 
-    Only for seeds that are single windows: those need ``length - 1`` bases of overlap.
+    Single windows need their width less one of overlap; minimizers also the
+    window before, whose choice the piece before has told.  Linked pairs and
+    findere's seeds depend on what lies further away and are not cut.
     """
-    if config.strobes or config.mode in ("minimizers", "findere"):
+    if config.strobes or config.mode == "findere":
         return sequences.withColumn("offset", F.lit(0).cast("long"))
+    width, lead = (config.k, 1) if config.mode == "minimizers" else (config.length, 0)
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.length(seq) - 1, F.lit(0)).cast("long"), F.lit(size).cast("long"))
-    cut = sequences.withColumn("offset", F.explode(starts))
-    return cut.withColumn(seq, F.substring(F.col(seq), (F.col("offset") + 1).cast("int"), F.lit(size + config.length - 1)))
+    cut = sequences.withColumn("offset", F.explode(starts)).withColumn("offset", F.greatest(F.col("offset") - lead, F.lit(0).cast("long")))
+    return cut.withColumn(seq, F.substring(F.col(seq), (F.col("offset") + 1).cast("int"), F.when(F.col("offset") > 0, size + width - 1 + lead).otherwise(size + width - 1)))
 
 
-def seeds(sequences: DataFrame, config: SeedConfig, ids: list[str], seq: str = "seq", reverse: bool = False, only: Broadcast | None = None, distinct: bool = False) -> DataFrame:
-    """ids, run, pos, key for each seed; with ``distinct`` each (ids, key) of a batch once and without places.
+def seeds(sequences: DataFrame, config: SeedConfig, ids: list[str], seq: str = "seq", reverse: bool = False, only: Broadcast | None = None, distinct: bool = False, size: int = PIECE) -> DataFrame:
+    """ids, run, pos, key for each seed; with ``distinct`` each (ids, key) of a batch once, with its count n in place of places.
 
     ``only`` is a broadcast sorted array of keys: other seeds are dropped where
     they are made.  Null sequences have no seeds.
     """
     ready = prepared(sequences.where(F.col(seq).isNotNull()), config, seq, reverse)
-    cut = pieces(ready, config, seq).select(*ids, "offset", F.col(seq).alias("seq"))
+    cut = pieces(ready, config, seq, size).select(*ids, "offset", F.col(seq).alias("seq"))
     kinds = [cut.schema[c] for c in ids]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + (", key long" if distinct else ", run long, pos long, key long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + (", key long, n long" if distinct else ", run long, pos long, key long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -99,8 +105,8 @@ def seeds(sequences: DataFrame, config: SeedConfig, ids: list[str], seq: str = "
                 part = batch.slice(start, stop - start)
                 sizes = lengths[start:stop] + 1
                 data = np.frombuffer(b"\n".join(x.as_buffer().to_pybytes() for x in part.column("seq")), np.uint8)
-                place, runs, keys = seed_arrays(data, config)
                 begin = np.cumsum(sizes) - sizes
+                place, runs, keys = seed_arrays(data, config, begin[part.column("offset").to_numpy() > 0])
                 row = np.searchsorted(begin, place, side="right") - 1
                 if only is not None:
                     known = only.value
@@ -112,14 +118,17 @@ def seeds(sequences: DataFrame, config: SeedConfig, ids: list[str], seq: str = "
                     row, keys = row[order], keys[order]
                     new = np.ones(len(row), bool)
                     new[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
-                    row, keys = row[new], keys[new]
+                    row, keys, n = row[new], keys[new], np.diff(np.r_[np.flatnonzero(new), len(new)])
                 pick = pa.array(row)
                 columns = [part.column(c).take(pick) for c in ids]
-                if not distinct:
+                if distinct:
+                    counts = [pa.array(n.astype(np.int64))]
+                else:
+                    counts = []
                     offset = part.column("offset").to_numpy()[row]
                     breaks = np.cumsum(data == 10)  # runs are counted within a row, across its pieces by place
                     columns += [pa.array((runs - np.r_[0, breaks][begin[row]]).astype(np.int64)), pa.array(place - begin[row] + offset)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64))], names=[*ids, *(["key"] if distinct else ["run", "pos", "key"])])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys.view(np.int64)), *counts], names=[*ids, *(["key", "n"] if distinct else ["run", "pos", "key"])])
                 start = stop
 
     return cut.mapInArrow(run, schema)

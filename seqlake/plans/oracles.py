@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqlake.functions.hashing import PARTITION, RECOVERY
+from seqlake.functions.hashing import FINGERPRINT, PARTITION, RECOVERY
 from seqlake.functions.sequences import FILE_SUFFIXES, TEXT_BASES, TEXT_LETTERS
 
 from .queries import MASK
@@ -116,6 +116,57 @@ def _minimizers(name: str, table: str, ident: str, k: int, m: int, part: int) ->
 {name} AS (SELECT id, run, pos, least(s, {_rc('s')}) AS key FROM {name}_n)"""
 
 
+def _xxh64(x: str) -> str:
+    """XXH64 with seed 0 of the eight bytes of an UBIGINT expression, as a chain of scalar subexpressions."""
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    m, u = f"{_M64}::UHUGEINT", lambda n: f"{n}::UHUGEINT"
+    turn = lambda v, by: f"((({v}) << {by}) % {m} | (({v}) >> {64 - by}))"
+    steps = [
+        f"(z * {u(p2)}) % {m}",
+        f"({turn('z', 31)} * {u(p1)}) % {m}",
+        f"xor({u((p5 + 8) % _M64)}, z)",
+        f"({turn('z', 27)} * {u(p1)} + {u(p4)}) % {m}",
+        f"(xor(z, z >> 33) * {u(p2)}) % {m}",
+        f"(xor(z, z >> 29) * {u(p3)}) % {m}",
+        "xor(z, z >> 32)",
+    ]
+    made = f"[({x})::UHUGEINT]"
+    for step in steps:
+        made = f"list_transform({made}, lambda z: {step})"
+    return f"{made}[1]"
+
+
+def _strobes(name: str, seeds: str, k: int, least: int, most: int, codes: str) -> str:
+    """CTE name(id, key): each seed linked with the one of the ``least`` to ``most`` next places of its run whose hash differs in the fewest low bits."""
+    return f"""{name}_x AS (SELECT id, run, pos, x FROM {seeds} JOIN {codes} USING (key)),
+{name}_l AS (SELECT id, x, list(x) OVER (PARTITION BY id, run ORDER BY pos RANGE BETWEEN {least} FOLLOWING AND {most} FOLLOWING) AS near FROM {name}_x),
+{name}_b AS (SELECT id, x, near, list_min(list_transform(near, lambda y, i: bit_count((xor(x, y) & 255)::BIGINT) * 1000 + i)) % 1000 AS best FROM {name}_l),
+{name} AS (SELECT id, (x // 2) + (coalesce(near[best], x) // 2) AS key FROM {name}_b)"""
+
+
+def _randstrobes(k: int, ratio: float) -> str:
+    return f"""WITH {_windows('dk', 'documents', 'doc_id', k, _dna())}, {_windows('qk', 'benchmark', 'item_id', k, _dna())}, {_windows('rk', 'benchmark', 'item_id', k, _rc(_dna()))},
+hashed AS (SELECT key, CAST({_xxh64('code')} AS UBIGINT) AS x FROM (SELECT key, {_code('key', k)} AS code FROM (SELECT key FROM dk UNION SELECT key FROM qk))),
+{_strobes('d', 'dk', k, k, 3 * k, 'hashed')}, {_strobes('q', 'qk', k, k, 3 * k, 'hashed')}, {_strobes('r', 'rk', k, k, 3 * k, 'hashed')},
+weighted AS (SELECT id, strand, key, count(*) AS n FROM (SELECT id, 0 AS strand, key FROM q UNION ALL SELECT id, 1, key FROM r) GROUP BY ALL),
+hits AS (SELECT DISTINCT id, key FROM d WHERE key IN (SELECT key FROM weighted)),
+by_strand AS (SELECT w.id AS query_id, strand, h.id AS dataset_id, CAST(sum(n) AS BIGINT) AS matches FROM weighted w JOIN hits h USING (key) GROUP BY ALL),
+found AS (SELECT query_id, dataset_id, max(matches) AS matches FROM by_strand GROUP BY ALL),
+totals AS (SELECT item_id AS query_id, CAST(coalesce(n, 0) AS BIGINT) AS queried_seeds FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN (SELECT id, count(*) AS n FROM q GROUP BY 1) ON id = item_id)
+""" + _KEPT.format(ratio=ratio)
+
+
+def _filtered(k: int, slots: int, bits: int, ratio: float) -> str:
+    cell = lambda domain, size: f"CAST(({_split(f'xor(code::UHUGEINT, {69 ^ domain}::UHUGEINT)')}) % {size} AS BIGINT)"
+    return f"""WITH {_windows('d', 'documents', 'doc_id', k, _dna())}, {_windows('q', 'benchmark', 'item_id', k, _dna())},
+cells AS (SELECT key, {cell(PARTITION, slots)} * {1 << bits} + {cell(FINGERPRINT, 1 << bits)} AS cell FROM (SELECT key, {_code('key', k)} AS code FROM (SELECT key FROM d UNION SELECT key FROM q))),
+weighted AS (SELECT id, cell, count(*) AS n FROM q JOIN cells USING (key) GROUP BY ALL),
+hits AS (SELECT DISTINCT id, cell FROM d JOIN cells USING (key) WHERE cell IN (SELECT cell FROM weighted)),
+totals AS (SELECT id AS query_id, CAST(sum(n) AS BIGINT) AS queried_seeds FROM weighted GROUP BY 1),
+found AS (SELECT w.id AS query_id, h.id AS dataset_id, CAST(sum(n) AS BIGINT) AS matches FROM weighted w JOIN hits h USING (cell) GROUP BY ALL)
+""" + _KEPT.format(ratio=ratio)
+
+
 _DENSITY = " SELECT id AS dataset_id, count(*) AS selected, count(DISTINCT key) AS distinct_seeds FROM d GROUP BY 1"
 
 
@@ -168,5 +219,21 @@ SELECT a, b, jaccard, CAST(round(greatest(greatest(na, nb)::DOUBLE, least((na +
     "fof_name_derivation": f"SELECT page_id, coalesce(nullif({_name}, ''), 'color') AS name FROM pages",
     "lineage_sort": "SELECT lang, source, n, row_number() OVER (ORDER BY lang IS NULL, lang, source) AS place FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)",
     "best_match": _search(31)
-    + f", kept AS ({_KEPT.format(ratio=0.01)}) SELECT query_id, dataset_id, matches, ratio FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, dataset_id) = 1",
+    + f", kept AS ({_KEPT.format(ratio=0.0)}) SELECT query_id, dataset_id, matches, ratio FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, dataset_id) = 1",
+    "randstrobe_records": _randstrobes(15, 0.8),
+    "filter_mode_records": _filtered(31, 1 << 24, 8, 0.8),
+    "union_origin_words": f"WITH {_windows('d', 'documents', 'doc_id', 31, _dna())}, p AS (SELECT DISTINCT id, key FROM d) SELECT CAST(floor(id / 63) AS BIGINT) AS word, count(DISTINCT key) AS keys, count(*) AS postings FROM p GROUP BY 1",
+    "minimizer_ocm_places": f"WITH {_minimizers('d', 'documents', 'doc_id', 39, 31, 4)}, begins AS (SELECT id, run, CAST(coalesce(sum(len(run_seq) + 1) OVER (PARTITION BY id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin FROM d_f_runs) "
+    + "SELECT id AS dataset_id, pos + begin AS pos FROM d JOIN begins USING (id, run)",
+    "kmer_records_named": _search(31, _NUMBER)
+    + f", kept AS ({_KEPT.format(ratio=0.8)}) SELECT t.query_id, 'src' || dataset_id AS dataset_name, coalesce(matches, 0) AS matches, t.queried_seeds, coalesce(ratio, 0.0) AS ratio FROM totals t LEFT JOIN kept USING (query_id)",
+    "lineage_of_sources": f"SELECT name, rank, row_number() OVER (ORDER BY NOT known, rank NULLS FIRST, name) AS place FROM (SELECT source AS name, {_NUMBER} % 2 = 1 AS known, CASE WHEN {_NUMBER} % 2 = 1 THEN min(lang) END AS rank FROM documents GROUP BY source)",
+    "fused_index_gaps": _search(31, _NUMBER) + f"SELECT query_id, 'src' || dataset_id AS name, matches, queried_seeds, ratio FROM ({_KEPT.format(ratio=0.8)})",
+    "recovery_probe_records": f"""WITH {_windows('d', 'documents', _NUMBER, 15, _dna())}, {_windows('q', 'benchmark', 'item_id', 15, _dna())},
+hashed AS (SELECT key, ({_split(f'xor(code::UHUGEINT, {69 ^ RECOVERY}::UHUGEINT)')}) >> 32 AS hash FROM (SELECT key, {_code('key', 15)} AS code FROM (SELECT key FROM d UNION SELECT key FROM q))),
+weighted AS (SELECT id, hash, count(*) AS n FROM q JOIN hashed USING (key) GROUP BY ALL), held AS (SELECT DISTINCT id, hash FROM d JOIN hashed USING (key))
+SELECT w.id AS query_id, h.id AS dataset_id, CAST(sum(w.n) AS BIGINT) AS matches, max(t.n) AS queried_seeds FROM weighted w JOIN held h USING (hash) JOIN (SELECT id, count(*) AS n FROM q GROUP BY 1) t ON t.id = w.id GROUP BY 1, 2""",
+    "index_round_trip": _search(31, _NUMBER)
+    + f", stats AS (SELECT id AS dataset_id, count(DISTINCT key) AS unique_kmers FROM d GROUP BY 1) SELECT query_id, 'src' || dataset_id AS name, matches, queried_seeds, ratio, unique_kmers FROM ({_KEPT.format(ratio=0.8)}) JOIN stats USING (dataset_id)",
+    "long_kmer_records_65": _records(65),
 }

@@ -6,6 +6,7 @@ benchmark items are the query records.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from seqlake.config import SeedConfig
 from seqlake.functions.sequences import dataset_name, dna_of_text, reverse_complement
 from seqlake.operators import approximate, layout, postings, search
 from seqlake.operators.seeds import seeds
+from seqlake.session import shared_dir
+from seqlake.sources.files import lineage_order, with_lineage
 
 K31 = SeedConfig(k=31)
 RATIO = 0.8
@@ -95,7 +98,7 @@ def _density(config: SeedConfig) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def union_origin_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = postings.origin_masks(postings.postings(sources(spark, sf_dir), K31))
+    masks = postings.origin_masks(postings.occurrences(sources(spark, sf_dir), K31))
     return masks.groupBy("mask").agg(F.count("*").alias("keys"))
 
 
@@ -104,13 +107,11 @@ _K15 = SeedConfig(k=15)
 
 def sketch_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = sources(spark, sf_dir)
-    found = postings.postings(target, _K15)
-    sizes = found.groupBy("dataset_id").agg(F.count("*").alias("unique_kmers"))
-    return layout.jaccard_pairs(layout.sketches(found), sizes)
+    return layout.jaccard_pairs(layout.sketches(postings.postings(target, _K15)))
 
 
 def hash_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.partition_counts(postings.postings(sources(spark, sf_dir), _K15), 64)
+    return layout.partition_counts(postings.occurrences(sources(spark, sf_dir), _K15), 64)
 
 
 def fused_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,7 @@ def fused_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovery_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = postings.recovery(postings.postings(sources(spark, sf_dir), _K15), _K15)
+    found = postings.recovery(postings.occurrences(sources(spark, sf_dir), _K15), _K15)
     return found.groupBy(F.size("dataset_ids").cast("long").alias("datasets")).agg(F.count("*").alias("hashes"), F.sum(F.col("dataset_ids")[0].cast("long")).alias("first_ids"))
 
 
@@ -151,8 +152,68 @@ def approximate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate.records(cells, items(spark, sf_dir), K31, slots, 8, RATIO).select("query_id", "dataset_id", "matches", "queried_seeds", "ratio")
 
 
+def union_origin_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document a dataset of its own: the datasets of each seed as numbered words of bits."""
+    words = postings.origin_words(postings.occurrences(documents(spark, sf_dir), K31))
+    return words.groupBy("word").agg(F.count("*").alias("keys"), F.sum(F.bit_count("mask")).alias("postings"))
+
+
+def minimizer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the minimizers of each document start."""
+    return seeds(documents(spark, sf_dir), SeedConfig(mode="minimizers", k=39, m=31), ["dataset_id"]).select("dataset_id", "pos")
+
+
+def records_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the names of their datasets, and a row without one for each item that hits none."""
+    target = sources(spark, sf_dir)
+    found, totals = search.matches(target, items(spark, sf_dir), K31)
+    kept = search._with_ratio(found.join(totals, "query_id")).where(F.col("ratio") >= RATIO)
+    names = target.select("dataset_id", F.col("color").alias("name")).distinct()
+    return search.named(search.with_no_hits(kept, totals), names).select("query_id", "dataset_name", "matches", "queried_seeds", "ratio")
+
+
+def lineage_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources in the order of a lineage table that knows only those with an odd number, by the first language of each."""
+    docs = _table(spark, sf_dir, "documents")
+    listed = docs.select(F.col("source").alias("name")).distinct()
+    known = docs.where(F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 2 == 1).groupBy(F.col("source").alias("name")).agg(F.min("lang").alias("rank"))
+    place = F.row_number().over(Window.orderBy(*lineage_order(["rank"])))  # as many rows as there are sources
+    return with_lineage(listed, known, ["rank"]).select("name", "rank", place.cast("long").alias("place"))
+
+
+def fused_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As fused_index_query, with the sources' own numbers, of which each index lacks every other one."""
+    target = sources(spark, sf_dir)
+
+    def half(rest: int) -> postings.Index:
+        own = target.where(F.col("dataset_id") % 2 == rest)
+        names = own.select("dataset_id", F.col("color").alias("name")).distinct()
+        return postings.Index(K31, 1, names, postings.postings(own, K31).withColumn("partition", F.lit(0)))
+
+    fused = postings.fuse(half(1), half(0))
+    found = search.records(fused, items(spark, sf_dir), K31, RATIO)
+    return found.join(fused.colors, "dataset_id").select("query_id", "name", "matches", "queried_seeds", "ratio")
+
+
+def recovery_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items searched in nothing but the recovery table, by 32-bit hashes."""
+    table = postings.recovery(postings.occurrences(sources(spark, sf_dir), _K15), _K15)
+    return postings.recovered(table, items(spark, sf_dir), _K15)
+
+
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources built into an index in the shared folder, which is opened and searched."""
+    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    target = sources(spark, sf_dir)
+    postings.build(target.select("dataset_id", "seq"), target.select("dataset_id", F.col("color").alias("name"), F.col("color").alias("path")).distinct(), K31, path)
+    index = postings.load(spark, path)
+    found = search.records(index, items(spark, sf_dir), index.config, RATIO)
+    return found.join(index.colors, "dataset_id").select("query_id", "name", "matches", "queried_seeds", "ratio", "unique_kmers")
+
+
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.best_match(search.records(documents(spark, sf_dir), items(spark, sf_dir), K31, 0.01))
+    found, totals = search.matches(documents(spark, sf_dir), items(spark, sf_dir), K31)
+    return search.best_match(search._with_ratio(found.join(totals, "query_id")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -185,4 +246,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lineage_sort": lineage_sort,
     "filter_mode_records": approximate_records,
     "best_match": best_match,
+    "union_origin_words": union_origin_words,
+    "minimizer_ocm_places": minimizer_places,
+    "kmer_records_named": records_named,
+    "lineage_of_sources": lineage_of_sources,
+    "fused_index_gaps": fused_with_gaps,
+    "recovery_probe_records": recovery_probe,
+    "index_round_trip": index_round_trip,
+    "long_kmer_records_65": _records(SeedConfig(k=65)),
 }

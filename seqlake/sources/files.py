@@ -139,7 +139,17 @@ def collection(spark: SparkSession, list_path: str) -> tuple[DataFrame, DataFram
     return colors, found.join(keyed, "path").select("dataset_id", "record", "name", "seq")
 
 
+def lineage_order(ranks: list[str], name: str = "name") -> list:
+    """By the ranks, then the name; rows without a lineage last."""
+    return [F.col("has_lineage").desc(), *ranks, name]
+
+
 def by_lineage(listed: DataFrame, lineage: DataFrame, ranks: list[str], name: str = "name") -> DataFrame:
     """listed in taxonomic order: by the ranks, then the name; datasets without a lineage last."""
-    known = lineage.select(name, *ranks).withColumn("_known", F.lit(1)).dropDuplicates([name])
-    return listed.join(known, name, "left").orderBy(F.col("_known").isNull(), *ranks, name).drop("_known")
+    return with_lineage(listed, lineage, ranks, name).orderBy(*lineage_order(ranks, name)).drop("has_lineage")
+
+
+def with_lineage(listed: DataFrame, lineage: DataFrame, ranks: list[str], name: str = "name") -> DataFrame:
+    """listed with its ranks and ``has_lineage``; a name that has several lineages gets the first of them."""
+    known = lineage.groupBy(name).agg(F.min(F.struct(*ranks)).alias("of")).select(name, "of.*", F.lit(True).alias("has_lineage"))
+    return listed.join(known, name, "left").na.fill(False, ["has_lineage"])

@@ -178,21 +178,13 @@ def test_fingerprints_find_all_and_little_else(spark):
 
 def test_sketches(spark):
     found = postings.postings(table(spark, [dna(3000, 1), dna(3000, 1), dna(3000, 1)[:1500] + dna(1500, 2)], "dataset_id"), SeedConfig(k=21))
-    sizes = found.groupBy("dataset_id").agg(F.count("*").alias("unique_kmers"))
-    pairs = {(r.a, r.b): (r.jaccard, r.union_estimate) for r in layout.jaccard_pairs(layout.sketches(found), sizes).collect()}
+    pairs = {(r.a, r.b): (r.jaccard, r.union_estimate) for r in layout.jaccard_pairs(layout.sketches(found)).collect()}
     assert pairs[0, 1] == (1.0, 2980)
     assert 0.15 < pairs[0, 2][0] < 0.55
     counts = layout.partition_counts(found, 8).collect()
     assert sum(r.postings for r in counts) == found.count() and len(counts) == 8
 
 
-def test_promotions():
-    assert layout.promotions({1: 5, 2: 1, 4: 9}, 3) == {1: 1, 2: 4, 4: 4}
-    assert set(layout.promotions({1: 1, 2: 1, 4: 1}, 100).values()) == {4}
-    assert set(layout.promotions({1: 5, 2: 5, 4: 5}, 1, 1).values()) == {4}
-    assert [layout.partitions_for(n, 1, 10) for n in (1, 10, 11, 40, 41)] == [1, 1, 2, 4, 8]
-
-
 def test_long_sequences_are_cut_without_a_trace(spark):
     config = SeedConfig(k=15)
     one = docs(spark)
@@ -204,6 +196,36 @@ def test_long_sequences_are_cut_without_a_trace(spark):
     assert whole == parts
 
 
+@pytest.mark.parametrize("scheme", ["open-closed-mod", "hashed"])
+@pytest.mark.parametrize("size", [7, 40, 111])
+def test_minimizers_of_pieces_are_those_of_the_whole(spark, scheme, size):
+    config = SeedConfig(mode="minimizers", k=21, m=11, scheme=scheme)
+    places = lambda **how: sorted((r.dataset_id, r.pos, r.key) for r in seeds(docs(spark), config, ["dataset_id"], **how).collect())
+    assert places(size=size) == places() != []
+
+
+def test_words_hold_any_number_of_datasets(spark):
+    rows = [(k, d) for k in range(3) for d in range(0, 100, k + 1)]
+    made = spark.createDataFrame(rows + rows[:5], "key long, dataset_id int")
+    found = {}
+    for r in postings.origin_words(made).collect():
+        found.setdefault(r.key, set()).update(63 * r.word + b for b in range(63) if r.mask >> b & 1)
+    assert found == {k: set(range(0, 100, k + 1)) for k in range(3)}
+
+
+def test_fusion_of_numbers_with_gaps(spark):
+    config = SeedConfig(k=21)
+
+    def index(ids):
+        names = spark.createDataFrame([(i, f"n{i}") for i in ids], "dataset_id int, name string")
+        found = spark.createDataFrame([(100 + i, i, 0) for i in ids], "key long, dataset_id int, partition int")
+        return postings.Index(config, 1, names, found)
+
+    fused = postings.fuse(index([1, 2]), index([0, 1]), index([5]))
+    names = {r.dataset_id: r.name for r in fused.colors.collect()}
+    assert len(names) == 5 and all(names[r.dataset_id] == f"n{r.key - 100}" for r in fused.postings.collect())
+
+
 def test_columns(spark):
     rows = spark.createDataFrame([("aaCCgtNNTT",), ("",), (None,)], "s string")
     assert [r[0] for r in rows.select(homopolymer_compress(F.col("s"))).collect()] == ["ACGTNNT", "", None]
