@@ -1,16 +1,18 @@
 """Sequence files: lists of files, FASTA and FASTQ, lineage tables.
 
 Files are read by Spark (``binaryFile``), so any store that Spark reads will
-do; each file is parsed in a task.  Compression goes by the file name: gz,
-gzip, bz2, bz, bzip2, xz by the standard library, zst, zstd by zstandard.
+do; each file is parsed in a task, as a stream.  Compression is told by a
+file's first bytes: gz, bz2 and xz by the standard library, zst by zstandard.
 """
 
 from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import lzma
 from collections.abc import Iterator
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,31 +41,69 @@ def file_list(spark: SparkSession, path: str, default_names: str = "file") -> Da
     return listed.select("dataset_id", checked.alias("name"), "path")
 
 
-def _opened(path: str, data: bytes) -> bytes:
-    end = path.rsplit(".", 1)[-1].lower()
-    if end in ("gz", "gzip"):
-        return gzip.decompress(data)
-    if end in ("bz2", "bz", "bzip2"):
-        return bz2.decompress(data)
-    if end == "xz":
-        return lzma.decompress(data)
-    if end in ("zst", "zstd"):
+#: The first bytes of compressed files.
+MAGIC = {b"\x1f\x8b": "gz", b"BZh": "bz2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zst"}
+#: Bases in one batch of records.
+BATCH = 4 << 20
+
+
+class _Bounded(io.RawIOBase):
+    """Fails once more than ``most`` bytes have been read from ``inner``."""
+
+    def __init__(self, inner: IO[bytes], most: int | None, path: str):
+        self._inner, self._most, self._path, self._read = inner, most, path, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self._inner.read(len(buffer))
+        self._read += len(data)
+        if self._most is not None and self._read > self._most:
+            raise ValueError(f"{self._path} holds more than {self._most} bytes")
+        buffer[: len(data)] = data
+        return len(data)
+
+
+def opened(path: str, data: bytes, most: int | None = None) -> IO[bytes]:
+    """A stream of what a file holds, decompressed as it is read; compression is told by the first bytes."""
+    raw: IO[bytes] = io.BytesIO(data)
+    kind = next((k for m, k in MAGIC.items() if data.startswith(m)), None)
+    if kind == "gz":
+        raw = gzip.GzipFile(fileobj=raw)
+    elif kind == "bz2":
+        raw = bz2.BZ2File(raw)
+    elif kind == "xz":
+        raw = lzma.LZMAFile(raw)
+    elif kind == "zst":
         import zstandard
 
-        with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as f:
-            return f.read()
-    return data
+        raw = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+    return io.BufferedReader(_Bounded(raw, most, path), 1 << 16)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[str, str]]:
+class _Lines:
+    """Lines of a stream without their ends, the next of which can be looked at."""
+
+    def __init__(self, stream: IO[bytes]):
+        self._stream = stream
+        self.next: bytes | None = None
+        self.take()
+
+    def take(self) -> bytes | None:
+        line, raw = self.next, self._stream.readline()
+        self.next = (raw[:-2] if raw.endswith(b"\r\n") else raw.removesuffix(b"\n")) if raw else None
+        return line
+
+
+def parse_records(data: bytes | IO[bytes]) -> Iterator[tuple[str, str]]:
     """(name, sequence) of each FASTA or FASTQ record; sequences may span lines.
 
     Errors: no record, an empty name or one that is not UTF-8, a sequence
     before the first header, white space inside a sequence, a quality shorter
     or longer than its sequence.
     """
-    lines = data.replace(b"\r\n", b"\n").split(b"\n")
-    at, n = 0, 0
+    lines, n = _Lines(io.BytesIO(data) if isinstance(data, bytes) else data), 0
 
     def name_of(line: bytes) -> str:
         words = line[1:].split(None, 1)
@@ -71,65 +111,69 @@ def parse_records(data: bytes) -> Iterator[tuple[str, str]]:
             raise ValueError(f"record {n + 1} has no name")
         return words[0].decode()
 
-    def body(stop: tuple[bytes, ...]) -> bytes:
-        nonlocal at
+    def body(stop: bytes) -> bytes:
         parts = []
-        while at < len(lines) and not lines[at].startswith(stop):
-            part = lines[at].rstrip()
+        while lines.next is not None and not lines.next.startswith(stop):
+            part = lines.take().rstrip()
             if len(part.split()) > 1 or part[:1].isspace():
                 raise ValueError(f"white space in the sequence of record {n + 1}")
             parts.append(part)
-            at += 1
         return b"".join(parts)
 
-    while at < len(lines):
-        line = lines[at]
+    while (line := lines.take()) is not None:
         if not line.strip():
-            at += 1
-        elif line.startswith(b">"):
-            name, at = name_of(line), at + 1
-            yield name, body((b">",)).decode("latin-1")
-            n += 1
+            continue
+        if line.startswith(b">"):
+            name = name_of(line)
+            yield name, body(b">").decode("latin-1")
         elif line.startswith(b"@"):
-            name, at = name_of(line), at + 1
-            seq = body((b"+",))
-            if at == len(lines):
+            name, seq = name_of(line), body(b"+")
+            if lines.take() is None:
                 raise ValueError(f"record {n + 1} ends before its quality")
-            at, quality = at + 1, 0
-            while at < len(lines) and quality < len(seq):
-                quality += len(lines[at].rstrip())
-                at += 1
+            quality = 0
+            while lines.next is not None and quality < len(seq):
+                quality += len(lines.take().rstrip())
             if quality != len(seq):
                 raise ValueError(f"record {n + 1} has {len(seq)} bases and {quality} qualities")
             yield name, seq.decode("latin-1")
-            n += 1
         else:
             raise ValueError("a sequence stands before the first header")
+        n += 1
     if not n:
         raise ValueError("no sequence records")
 
 
 def sequence_records(spark: SparkSession, paths: list[str] | str, most_bytes: int | None = None) -> DataFrame:
-    """path, record, name, seq of each record; ``most_bytes`` is the most that a file may hold once opened."""
+    """path, record, name, seq of each record; ``most_bytes`` is the most that a file may hold once opened.
+
+    Files are decompressed and parsed as a stream, in batches of about
+    ``BATCH`` bases; a task fails as soon as its file has given more than
+    ``most_bytes``.  A file's stored bytes are one row, so 2 GB at most.
+    """
+    names = ["path", "record", "name", "seq"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                data = _opened(path, content)
-                if most_bytes is not None and len(data) > most_bytes:
-                    raise ValueError(f"{path} holds {len(data)} bytes, more than {most_bytes}")
-                rows = list(parse_records(data))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())],
-                    names=["path", "record", "name", "seq"],
-                )
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                rows, held = [], 0
+                for number, (name, seq) in enumerate(parse_records(opened(path, content.as_py(), most_bytes))):
+                    rows.append((path, number, name, seq))
+                    held += len(seq)
+                    if held >= BATCH:
+                        yield batch(rows)
+                        rows, held = [], 0
+                yield batch(rows)
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, record long, name string, seq string")
 
 
-def collection(spark: SparkSession, list_path: str) -> tuple[DataFrame, DataFrame]:
+def collection(spark: SparkSession, list_path: str, default_names: str = "file") -> tuple[DataFrame, DataFrame]:
     """(dataset_id, name, path) and (dataset_id, record, name, seq) of a list of files."""
-    colors = file_list(spark, list_path)
+    colors = file_list(spark, list_path, default_names)
     paths = [r["path"] for r in colors.select("path").distinct().collect()]
     if not paths:
         raise ValueError("the list names no file")

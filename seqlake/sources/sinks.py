@@ -17,8 +17,8 @@ def default_name(prefix: str = "myindex") -> str:
 
 
 def write_tsv(found: DataFrame, path: str, order: list[str], ratio: str = "ratio") -> None:
-    """Tab-separated with a header, in order, ratios with eight decimals and a dot for null."""
-    shown = found.orderBy(*order)
+    """Tab-separated with a header, in ``order`` (as found stands if that is empty), ratios with eight decimals and a dot for null."""
+    shown = found.orderBy(*order) if order else found
     columns = [F.format_string("%.8f", c).alias(c) if c == ratio else F.coalesce(F.col(c).cast("string"), F.lit(".")).alias(c) for c in found.columns]
     shown.select(*columns).write.csv(path, sep="\t", header=True)
 

@@ -6,6 +6,7 @@ import lzma
 
 import pytest
 
+from seqlake import cli
 from seqlake.config import SeedConfig
 from seqlake.operators import search
 from seqlake.sources import files, sinks
@@ -49,6 +50,41 @@ def test_collection(spark, tmp_path):
         files.sequence_records(spark, [f"{tmp_path}/damaged.fa.gz"]).collect()
 
 
+def test_compression_is_told_by_content_and_bounded_while_read(spark, tmp_path):
+    (tmp_path / "plain.gz").write_bytes(FASTA)
+    (tmp_path / "packed.fa").write_bytes(gzip.compress(FASTA[:20]) + gzip.compress(FASTA[20:]))
+    found = files.sequence_records(spark, [f"{tmp_path}/plain.gz", f"{tmp_path}/packed.fa"]).collect()
+    assert sorted((r.record, r.seq) for r in found) == [(0, "ACGTacgtn")] * 2 + [(1, "GG")] * 2
+    bomb = gzip.compress(b">a\n" + b"A" * 50_000_000)
+    stream = files.opened("bomb", bomb, 1000)
+    with pytest.raises(ValueError, match="more than 1000"):
+        list(files.parse_records(stream))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    one, two = dna(400, 21), dna(400, 22)
+    for name, seq in (("one.fa", one), ("two.fa", two)):
+        (tmp_path / name).write_bytes(b">r\n" + seq + b"\n")
+    (tmp_path / "a.fof").write_text(f"{tmp_path}/one.fa\n")
+    (tmp_path / "b.fof").write_text(f"second\t{tmp_path}/two.fa\n")
+    (tmp_path / "q.fa").write_bytes(b">q1\n" + one[50:150] + b"\n>q2\n" + dna(90, 23) + b"\n")
+    for name in "ab":
+        cli.main(["build", "--files", f"{tmp_path}/{name}.fof", "--out", f"{tmp_path}/{name}", "--k", "21", "--partitions", "4"], spark)
+    cli.main(["fuse", f"{tmp_path}/a", f"{tmp_path}/b", "--out", f"{tmp_path}/both"], spark)
+    cli.main(["query", f"{tmp_path}/both", f"{tmp_path}/q.fa", "--out", f"{tmp_path}/records", "--records", "--min-ratio", "0.5"], spark)
+    shown = sorted(tuple(r) for r in spark.read.csv(f"{tmp_path}/records", sep="\t", header=True).collect())
+    assert shown == [("q1", "0", "one", "80", "80", "1.00000000"), ("q2", ".", ".", "0", "70", "0.00000000")]
+    cli.main(["query", f"{tmp_path}/both", f"{tmp_path}/q.fa", "--out", f"{tmp_path}/all"], spark)
+    assert sorted(tuple(r) for r in spark.read.csv(f"{tmp_path}/all", sep="\t", header=True).collect()) == [("0", "one", "80", "0.53333333"), ("1", "second", "0", "0.00000000")]
+    cli.main(["query", f"{tmp_path}/both", f"{tmp_path}/q.fa", "--out", f"{tmp_path}/short", "--compact", "--min-ratio", "0.5"], spark)
+    assert sorted(tuple(r) for r in spark.read.csv(f"{tmp_path}/short", sep="\t", header=True).collect()) == [("q1", "80", "0:80"), ("q2", "70", None)]
+    cli.main(["info", f"{tmp_path}/both"], spark)
+    said = capsys.readouterr().out
+    assert "second" in said and "partitions" in said
+    with pytest.raises(Exception):
+        cli.main(["build", "--files", f"{tmp_path}/a.fof", "--out", f"{tmp_path}/a", "--k", "21"], spark)
+
+
 def test_lineage(spark):
     listed = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "name string, n int")
     lineage = spark.createDataFrame([("c", "p1", "s1"), ("a", "p2", "s0")], "name string, phylum string, species string")
