@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, frugal, of_worker, slices, texts
+from .common import bounded_sample, frugal, give_back, of_worker, slices, texts
 
 #: So wide that a clean term hardly ever shares the hash of a telling one.
 BITS = 31
@@ -81,24 +81,31 @@ def _g(n, with_1, rows: int, ones: float):
     return total
 
 
-def _in_pairs(row, col, y, width: int, alone, least: float, strip: int = 64):
-    """Which of ``width`` terms tell of the label together with another one: 4 groups of rows by the presence of two, less what both tell alone."""
+def _in_pairs(row, col, y, width: int, alone, least: float, strip: int = 128, block: int = 1024):
+    """Which of ``width`` terms tell of the label together with another one: 4 groups of rows by the presence of two, less what both tell alone.
+
+    All pairs are looked at, ``strip`` terms by ``block`` others at a time.
+    """
     import numpy as np
 
-    held = np.zeros((len(y), width), np.float32)
+    held = np.zeros((len(y), width), np.uint8)
     held[row, col] = 1
-    n, with_1, ones = held.sum(axis=0, dtype=float), y @ held, y.sum()
+    n, with_1, ones = np.bincount(col, minlength=width).astype(float), np.bincount(col, weights=y[row], minlength=width), y.sum()
     chosen = np.zeros(width, bool)
-    for start in range(0, width, strip):
-        own = held[:, start : start + strip]
-        both, both_1 = (own.T @ held).astype(float), ((own * y[:, None].astype(np.float32)).T @ held).astype(float)
-        a, a_1 = n[start : start + strip, None], with_1[start : start + strip, None]
-        cells = np.stack([both, a - both, n - both, len(y) - a - n + both])
-        cells_1 = np.stack([both_1, a_1 - both_1, with_1 - both_1, ones - a_1 - with_1 + both_1])
-        over = _g(cells, cells_1, len(y), ones) - alone[start : start + strip, None] - alone
-        hit = over >= least
-        hit[np.arange(len(hit)), np.arange(start, start + len(hit))] = False
-        chosen |= hit.any(axis=0)
+    for start in range(0, width, block):
+        right = slice(start, min(start + block, width))
+        others = held[:, right].astype(np.float32)
+        for first in range(0, right.stop, strip):  # the pairs are symmetric
+            left = slice(first, min(first + strip, right.stop))
+            own = held[:, left].astype(np.float32)
+            both, both_1 = (own.T @ others).astype(float), ((own * y[:, None].astype(np.float32)).T @ others).astype(float)
+            a, a_1, b, b_1 = n[left, None], with_1[left, None], n[right], with_1[right]
+            cells = np.stack([both, a - both, b - both, len(y) - a - b + both])
+            cells_1 = np.stack([both_1, a_1 - both_1, b_1 - both_1, ones - a_1 - b_1 + both_1])
+            hit = _g(cells, cells_1, len(y), ones) - alone[left, None] - alone[right] >= least
+            hit &= np.arange(left.start, left.stop)[:, None] != np.arange(right.start, right.stop)
+            chosen[left] |= hit.any(axis=1)
+            chosen[right] |= hit.any(axis=0)
     return chosen
 
 
@@ -116,7 +123,9 @@ def telling(found: list, y, least_g: float, pair_share: float, least_pair_g: flo
     place = np.full(len(ids), -1)
     place[often] = np.arange(len(often))
     inside = place[col] >= 0
-    kept[often[_in_pairs(owner[inside], place[col[inside]], y, len(often), g[often], least_pair_g)]] = True
+    row, col = owner[inside], place[col[inside]]
+    del every, owner, inside
+    kept[often[_in_pairs(row, col, y, len(often), g[often], least_pair_g)]] = True
     return ids[kept]
 
 
@@ -181,7 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_do
     bodies = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     # the sample's bound makes this side small whatever the input
     rows = bodies.join(F.broadcast(marked), "doc_id").select("text", "label").mapInArrow(frugal(_terms), "label int, terms binary").collect()
-    return fit([np.frombuffer(r["terms"], np.uint32) for r in rows], [r["label"] for r in rows])
+    found, marks = [np.frombuffer(r["terms"], np.uint32) for r in rows], [r["label"] for r in rows]
+    del rows
+    made = fit(found, marks)
+    del found
+    give_back()
+    return made
 
 
 class Scorer:

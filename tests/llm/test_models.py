@@ -219,7 +219,7 @@ def test_pair_statistic_by_definition():
     row, col = np.nonzero(held)
     want = [[g([held[:, a] & held[:, b], held[:, a] & ~held[:, b], ~held[:, a] & held[:, b], ~held[:, a] & ~held[:, b]]) - alone[a] - alone[b] if a != b else -np.inf for b in range(5)] for a in range(5)]
     for least in (0.5, 1.0, 2.0, 4.0):
-        assert toxicity._in_pairs(row, col, y, 5, alone, least, strip=2).tolist() == (np.array(want) >= least).any(axis=1).tolist()
+        assert toxicity._in_pairs(row, col, y, 5, alone, least, strip=2, block=3).tolist() == (np.array(want) >= least).any(axis=1).tolist()
 
 
 def test_toxicity_edges(spark):
