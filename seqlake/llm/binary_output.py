@@ -92,7 +92,6 @@ def matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: i
         from pyspark import TaskContext
 
         coder, sequence = bpe.of_worker(shared.value, by_ranks=True), TaskContext.get().partitionId() << 40
-        upto = np.arange(window, dtype="<u4")
         last = b"" if separator is None else np.array([separator], "<u4").tobytes()
 
         def blocks() -> Iterator[tuple[list, list]]:
@@ -111,15 +110,30 @@ def matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: i
                 yield ids, owners
 
         for ids, owners in blocks():
-            rows = []
-            for pieces in best_fit([len(x) for x in ids], window):
-                sizes = [n for _, _, n in pieces]
-                used = sum(sizes)
-                row = np.concatenate([*(ids[d][s : s + n] for d, s, n in pieces), np.full(window - used, padding, "<u4")]).tobytes()
-                places = np.concatenate([*(upto[:n] for n in sizes), np.zeros(window - used, "<u4")]).tobytes()
-                rows.append((sequence, [owners[d] for d, _, _ in pieces], [s for _, s, _ in pieces], np.cumsum([0, *sizes]).tolist(), used, *((zlib.crc32(row), zlib.crc32(places)) if digests else (row, places))))
-                sequence += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+            packed = best_fit([len(x) for x in ids], window)
+            sizes = np.array([n for pieces in packed for _, _, n in pieces], np.int64)
+            row = np.repeat(np.arange(len(packed)), [len(pieces) for pieces in packed])
+            begin = np.cumsum(sizes) - sizes  # of each piece among all tokens of the block
+            used = np.bincount(row, weights=sizes, minlength=len(packed)).astype(np.int64)
+            place = begin - (np.cumsum(used) - used)[row]  # of each piece in its sequence
+            every = np.arange(int(sizes.sum()))
+            at = np.repeat(row * window + place - begin, sizes) + every
+            matrix, positions = np.full(len(packed) * window, padding, "<u4"), np.zeros(len(packed) * window, "<u4")
+            matrix[at] = np.concatenate([ids[d][s : s + n] for pieces in packed for d, s, n in pieces])
+            positions[at] = every - np.repeat(begin, sizes)
+            wide = []
+            for made in (matrix, positions):
+                if digests:
+                    wide.append(pa.array([zlib.crc32(x) for x in made.reshape(-1, window)], pa.int64()))
+                else:
+                    wide.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * window), len(packed), [None, pa.py_buffer(made)]).cast(pa.binary()))
+            lists = [
+                ([owners[d] for d, _, _ in pieces], [s for _, s, _ in pieces], np.cumsum([0, *(n for _, _, n in pieces)], dtype=np.int32))
+                for pieces in packed
+            ]
+            numbers = pa.array(np.arange(sequence, sequence + len(packed)))
+            yield pa.RecordBatch.from_arrays([numbers, *(pa.array([x[k] for x in lists], kinds[k + 1]) for k in range(3)), pa.array(used), *wide], names=names)
+            sequence += len(packed)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), schema)
 
