@@ -18,7 +18,6 @@ empty result.
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
@@ -73,30 +72,55 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies: items[size][item] is a list by language; size 0 holds whole words."""
+    """Log frequencies by language of words (size 0) and n-grams: ``rows[size][item]`` is a row of ``tables[size]``."""
 
     def __init__(self, rows: list[tuple[int, str, str, int]]):
+        import numpy as np
+
         self.langs = sorted({lang for _, lang, _, _ in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        totals = [[0] * len(self.langs) for _ in range(LONGEST + 1)]
-        counts: list[dict[str, list[int]]] = [{} for _ in range(LONGEST + 1)]
+        self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for size, _, item, _ in rows:
+            self.rows[size].setdefault(item, len(self.rows[size]))
+        counts = [np.zeros((len(found), len(self.langs))) for found in self.rows]
         for size, lang, item, n in rows:
-            totals[size][at[lang]] += n
-            counts[size].setdefault(item, [0] * len(self.langs))[at[lang]] += n
-        self.items = [
-            {item: [math.log((n + 0.5) / (t + 0.5 * len(found) + 1)) for n, t in zip(by, totals[size], strict=True)] for item, by in found.items()}
-            for size, found in enumerate(counts)
-        ]
+            counts[size][self.rows[size][item], at[lang]] += n
+        self.tables = [np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n) + 1)) for n in counts]
+        for edge in "<>":  # the edge of a word alone tells nothing
+            self.rows[1].pop(edge, None)
+
+    @property
+    def items(self) -> list[dict[str, list[float]]]:
+        """By size, the log frequencies of each item."""
+        return [{item: table[row].tolist() for item, row in found.items()} for found, table in zip(self.rows, self.tables, strict=True)]
+
+    def evidence(self, words: list[str]):
+        """A row of scores by language for each word, and whether even one of its characters is known."""
+        import numpy as np
+
+        scores, known = np.zeros((len(words), len(self.langs))), np.zeros(len(words), bool)
+        left = range(len(words))
+        for size in (0, *range(LONGEST, 0, -1)):
+            rows, of, sizes, at, still = self.rows[size], [], [], [], []
+            for i in left:
+                found = [r for g in (grams(words[i], size) if size else (words[i],)) if (r := rows.get(g)) is not None]
+                if found:
+                    of.append(i)
+                    sizes.append(len(found))
+                    at += found
+                else:
+                    still.append(i)
+            if of:
+                begins = np.cumsum([0, *sizes[:-1]])
+                scores[of] = np.add.reduceat(self.tables[size][at], begins) / np.array(sizes)[:, None]
+                known[of] = True
+            left = still
+        return scores, known
 
     def word_scores(self, word: str) -> list[float] | None:
         """By language; None if not even one of its characters is known."""
-        if (found := self.items[0].get(word)) is not None:
-            return found
-        for size in range(LONGEST, 0, -1):
-            known = [s for g in grams(word, size) if g.strip("<>") and (s := self.items[size].get(g)) is not None]
-            if known:
-                return [sum(x) / len(known) for x in zip(*known, strict=True)]
-        return None
+        scores, known = self.evidence([word])
+        return scores[0].tolist() if known[0] else None
 
 
 def train(labelled: DataFrame, max_train_docs: int = 12_000, min_count: int = 3) -> Model:
@@ -108,31 +132,53 @@ def train(labelled: DataFrame, max_train_docs: int = 12_000, min_count: int = 3)
 
 
 class Predictor:
+    """Predicts in one Python worker; remembers up to about ``most`` words of up to 64 characters as rows of a table."""
+
     def __init__(self, model: Model, most: int = 600_000):
         self._model, self._most = model, most
-        self._known: dict[str, list[float] | None] = {}
-
-    def predict(self, text: str) -> tuple[str, float]:
-        """Language and its posterior, by the mean evidence of a word and at most as if of 20 words."""
-        langs, known = self._model.langs, self._known
-        if len(known) > self._most:
-            known.clear()
-        total, n = [0.0] * len(langs), 0
-        for word, times in Counter(words(text)).items():
-            try:
-                s = known[word]
-            except KeyError:
-                s = self._model.word_scores(word)
-                if len(word) <= 64:
-                    known[word] = s
-            if s is not None:
-                n += times
-                total = [a + times * b for a, b in zip(total, s, strict=True)]
-        if not langs or not any(map(str.isalpha, text)):
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self._row: dict[str, int] = {}
+        self._table = np.zeros((1, len(self._model.langs)))  # row 0: none of its characters is known
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """Language and its posterior for each text, by the mean evidence of a word and at most as if of 20 words."""
+        import numpy as np
+
+        if not self._model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        if len(self._row) > self._most:
+            self._forget()
+        split = [words(t) for t in texts]
+        new = sorted(set().union(*split).difference(self._row), key=lambda w: len(w) > 64)
+        scores, known = self._model.evidence(new)
+        first = len(self._table)
+        self._table = np.concatenate([self._table, scores])
+        self._row.update(zip(new, np.where(known, np.arange(first, first + len(new)), 0).tolist(), strict=True))
+        out = [self._judge(text, own) for text, own in zip(texts, split, strict=True)]
+        short = len(new)
+        while short and len(new[short - 1]) > 64:
+            short -= 1
+            del self._row[new[short]]
+        self._table = self._table[: first + short]
+        return out
+
+    def _judge(self, text: str, own: list[str]) -> tuple[str, float]:
+        import numpy as np
+
+        if not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
+        total, n = np.zeros(self._table.shape[1]), 0
+        for start in range(0, len(own), 1 << 14):
+            rows = np.array(list(map(self._row.__getitem__, own[start : start + (1 << 14)])))
+            total += self._table[rows].sum(axis=0)
+            n += np.count_nonzero(rows)
+        best = int(total.argmax())
         scale = min(n, 20) / n if n else 0.0
-        best = max(range(len(langs)), key=lambda i: (total[i], -i))
-        return langs[best], 1 / sum(math.exp(max(-700.0, scale * (t - total[best]))) for t in total)
+        return self._model.langs[best], float(1 / np.exp(np.maximum(-700.0, scale * (total - total[best]))).sum())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -142,7 +188,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = of_worker(("language", key), lambda: Predictor(shared.value))
         for part in (p for b in batches for p in slices(b)):
-            found = [predictor.predict(t) for t in texts(part)]
+            found = predictor.predict(texts(part))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
