@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import frugal, of_worker, slices, texts, write_shared
+from .common import frugal, of_worker, partitions_for, slices, texts, write_shared
 
 WINDOW, SHARD_DOCS, SHARD_TOKENS = 1024, 512, 1 << 20
 LEVELS = 6
@@ -198,7 +198,7 @@ def _fill(shard: Shard, lengths: list[int], room: int, window: int) -> Iterator[
 
 def pack(tokens: DataFrame, window: int = WINDOW, with_ids: bool = False, kind: str = "<u2") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece, and its ids if asked for."""
-    parts = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = partitions_for(tokens, 32 << 20)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
     stats = statistics(tokens)
