@@ -50,6 +50,18 @@ def test_language_keeps_every_count_that_reaches_the_least(spark):
     assert set(language_id.train(frame(spark, rows[:20])).items[0]) == set()
 
 
+def test_language_is_alike_whatever_is_remembered():
+    rows = [(0, lang, w, 5) for lang in LANGS for w in LANGS[lang]] + [(1, lang, c, 9) for lang in LANGS for w in LANGS[lang] for c in w]
+    model = language_id.Model(rows)
+    texts = [*(t or "" for _, t, _ in ROWS[:60]), "x" * 100 + " and " + "y" * 70, "z" * 65]
+    many, few = language_id.Predictor(model), language_id.Predictor(model, most=3)
+    found = many.predict(texts)
+    assert found == [few.predict([t])[0] for t in texts] == many.predict(texts)
+    assert len(many._table) == len(many._row) + 1 and max(map(len, many._row)) <= 64
+    long = "la " * 40_000
+    assert language_id.Predictor(model).predict([long])[0][0] == language_id.Predictor(model).predict(["la la"])[0][0]
+
+
 def test_language_without_training(spark):
     none = language_id.train(empty(spark))
     assert {r.lang_pred for r in language_id.predict(frame(spark, ROWS[:5]), none).collect()} == {"und"}

@@ -59,6 +59,15 @@ def test_encoder_equals_the_library(tokenizer, library):
         assert coder.decode(code) == text.encode()
 
 
+def test_units_are_joined_only_for_the_known_pattern(tokenizer, ranks):
+    coder, other = bpe.ByteBPE(tokenizer), bpe.ByteBPE(bpe.tokenizer_json(ranks, r"\S+\n*|\s+"))
+    assert coder._cache._encode_many == coder._encode_joined and other._cache._encode_many == other._encode_units
+    units = [" and", "\nnew", "\u3000\u3000x", "x\u3000\u3000y", " 漢字!", "a'll", " '", "\n\u2028b", "\x1cz", *noise(300, 6)]
+    assert coder._encode_joined(units) == coder._encode_units(units)
+    for unit in units:
+        assert coder._encode_joined([" a", unit, "\nb"]) == coder._encode_units([" a", unit, "\nb"])
+
+
 def test_ids_by_ranks_equal_the_library():
     texts = [*noise(2000, 4), *(t or "" for _, t, _ in ROWS), " <|endoftext|>\n\n<|endoftext|> a"]
     library, coder = Tokenizer.from_str(json_tokenizer()), bpe.ByteBPE(json_tokenizer(), by_ranks=True)
