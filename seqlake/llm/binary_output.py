@@ -116,11 +116,15 @@ def matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: i
             begin = np.cumsum(sizes) - sizes  # of each piece among all tokens of the block
             used = np.bincount(row, weights=sizes, minlength=len(packed)).astype(np.int64)
             place = begin - (np.cumsum(used) - used)[row]  # of each piece in its sequence
-            every = np.arange(int(sizes.sum()))
-            at = np.repeat(row * window + place - begin, sizes) + every
+            index = np.int32 if len(packed) * window < 1 << 31 else np.int64
+            every = np.arange(int(sizes.sum()), dtype=index)
+            at = np.repeat((row * window + place - begin).astype(index), sizes)
+            at += every
             matrix, positions = np.full(len(packed) * window, padding, "<u4"), np.zeros(len(packed) * window, "<u4")
             matrix[at] = np.concatenate([ids[d][s : s + n] for pieces in packed for d, s, n in pieces])
-            positions[at] = every - np.repeat(begin, sizes)
+            every -= np.repeat(begin.astype(index), sizes)
+            positions[at] = every
+            del every, at
             wide = []
             for made in (matrix, positions):
                 if digests:
@@ -134,6 +138,7 @@ def matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: i
             numbers = pa.array(np.arange(sequence, sequence + len(packed)))
             yield pa.RecordBatch.from_arrays([numbers, *(pa.array([x[k] for x in lists], kinds[k + 1]) for k in range(3)), pa.array(used), *wide], names=names)
             sequence += len(packed)
+            del matrix, positions, made, wide, lists, packed, ids, owners
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(frugal(run), schema)
 
